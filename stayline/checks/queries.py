@@ -21,6 +21,7 @@ from stayline.operators import segments as seg
 from stayline.plans import retention, scoring, training
 from stayline.plans.scorecard import Scorecard
 from stayline.sources import exports
+from stayline.sources.staging import stage
 from stayline.sources.star import customer_view, partner_upload, star_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +47,11 @@ def _view(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return customer_view(star_tables(spark, folder), tuple(wanted) if wanted else None)
 
 
+def _staged_view(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """The view for operators that read it more than once: derived one time only."""
+    return stage(_view(spark, folder, *columns))
+
+
 def _upload(spark: SparkSession, folder: str) -> DataFrame:
     return partner_upload(star_tables(spark, folder))
 
@@ -198,7 +204,7 @@ def crosstab_app(spark, folder):
 
 @_query
 def histogram_by_class(spark, folder):
-    view = _view(spark, folder, CHURN_LABEL, *explore.HISTOGRAM_COLUMNS)
+    view = _staged_view(spark, folder, CHURN_LABEL, *explore.HISTOGRAM_COLUMNS)
     bins = explore.histogram(view, explore.HISTOGRAM_COLUMNS, by=CHURN_LABEL)
     return _rounded(bins, 6, "bin_low", "bin_high")
 
@@ -218,8 +224,8 @@ def distinct_options(spark, folder):
 
 @_query
 def feature_display_names(spark, folder):
-    encoders = features.encoders_for(_learned(spark, folder).vocabulary)
-    encoded = features.encode(_view(spark, folder), encoders)
+    view = _staged_view(spark, folder)
+    encoded = features.encode(view, features.fit_encoders(view))
     return explore.feature_coverage(encoded.select(*CHURN_FEATURES, CHURN_LABEL))
 
 
@@ -391,8 +397,8 @@ def segment_map(spark, folder):
 
 @_query
 def encode_categories(spark, folder):
-    encoders = features.encoders_for(_learned(spark, folder).vocabulary)
-    encoded = features.encode(_view(spark, folder, *CATEGORICAL), encoders)
+    view = _staged_view(spark, folder, *CATEGORICAL)
+    encoded = features.encode(view, features.fit_encoders(view))
     return encoded.select(ID, *[F.col(c).cast("long").alias(c) for c in ENCODED.values()])
 
 
@@ -403,14 +409,14 @@ def encoder_classes(spark, folder):
 
 
 def _scaled(spark, folder, columns: Sequence[str]) -> DataFrame:
-    view = _view(spark, folder, *columns)
+    view = _staged_view(spark, folder, *columns)
     return _rounded(features.scale(view, features.fit_scaler(view, columns), keep=[ID]), 6, *columns)
 
 
 @_query
 def scale_churn(spark, folder):
-    encoders = features.encoders_for(_learned(spark, folder).vocabulary)
-    encoded = features.encode(_view(spark, folder), encoders)
+    view = _staged_view(spark, folder)
+    encoded = features.encode(view, features.fit_encoders(view))
     scaled = features.scale(encoded, features.fit_scaler(encoded, CHURN_FEATURES), keep=[ID])
     return _rounded(scaled, 6, *CHURN_FEATURES)
 
@@ -427,7 +433,7 @@ def scale_rfm(spark, folder):
 
 @_query
 def split_stratified(spark, folder):
-    return features.split(_view(spark, folder, CHURN_LABEL), stratify=CHURN_LABEL)
+    return features.split(_staged_view(spark, folder, CHURN_LABEL), stratify=CHURN_LABEL)
 
 
 @_query
@@ -595,19 +601,15 @@ def action_summary(spark, folder):
 SMOKE = training.TrainConfig.smoke()
 
 
-def _train_rows(spark, folder) -> DataFrame:
-    view = features.split(_view(spark, folder), stratify=CHURN_LABEL)
-    return view.repartition(ID).sortWithinPartitions(ID)
+def _train_rows(spark, folder, *columns: str) -> DataFrame:
+    return training.laid_out(_view(spark, folder, *columns))
 
 
 def _churn_fit(spark, folder, fit) -> DataFrame:
-    rows = _train_rows(spark, folder).persist()
-    try:
-        model = fit(rows.filter("is_train"), training.churn_features(
-            rows, quality.learn_vocabulary(rows)), SMOKE)
-    finally:
-        rows.unpersist()
-    return training.predict_churn(model, _train_rows(spark, folder)).select(
+    rows = features.split(_train_rows(spark, folder), stratify=CHURN_LABEL)
+    prepared = training.churn_features(rows, quality.learn_vocabulary(rows))
+    model = fit(rows.filter("is_train"), prepared, SMOKE)
+    return training.predict_churn(model, rows).select(
         ID, "is_train", CHURN_LABEL, "ChurnProb", "ChurnPred")
 
 
@@ -623,27 +625,19 @@ def train_gbt(spark, folder):
 
 @_query
 def train_clv(spark, folder):
-    view = features.split(_view(spark, folder, *CLV_FEATURES, CLV_LABEL))
-    scaler = features.fit_scaler(view, CLV_FEATURES)
-    rows = view.filter("is_train").repartition(ID).sortWithinPartitions(ID).persist()
-    try:
-        model = training.train_clv(rows, scaler, SMOKE)
-    finally:
-        rows.unpersist()
-    return model.transform(view).select(
+    rows = features.split(_train_rows(spark, folder, *CLV_FEATURES, CLV_LABEL))
+    model = training.train_clv(
+        rows.filter("is_train"), features.fit_scaler(rows, CLV_FEATURES), SMOKE)
+    return model.transform(rows).select(
         ID, "is_train", CLV_LABEL, F.col("prediction").alias("PredCLV"))
 
 
 @_query
 def train_kmeans(spark, folder):
-    view = _view(spark, folder, *RFM_FEATURES)
-    rfm = training.rfm_features(features.fit_scaler(view, RFM_FEATURES))
-    vectors = rfm.transform(view).select(ID, "rfm_features").persist()
-    try:
-        model, _ = training.train_kmeans(vectors, SMOKE.clusters, SMOKE.restarts, SMOKE.seed)
-    finally:
-        vectors.unpersist()
-    return model.transform(rfm.transform(view)).select(ID, "Cluster")
+    rows = _train_rows(spark, folder, *RFM_FEATURES)
+    vectors = training.rfm_vectors(rows, features.fit_scaler(rows, RFM_FEATURES))
+    model, _ = training.train_kmeans(vectors, SMOKE.clusters, SMOKE.restarts, SMOKE.seed)
+    return model.transform(vectors).select(ID, "Cluster")
 
 
 @_query
@@ -688,6 +682,9 @@ def score_trained(spark, folder):
 @_query
 def performance_by_part(spark, folder):
     """Metrics of the selected model on the train rows, the test rows and all rows."""
-    models = _models(spark, folder)
-    rows = training.predict_churn(models.churn_model, _train_rows(spark, folder))
-    return training.performance(rows)
+    rows = _train_rows(spark, folder)
+    models = training.train(rows, SMOKE)
+    scored = training.predict_churn(
+        models.churn_model, features.split(rows, stratify=CHURN_LABEL))
+    metrics = training.performance(scored)
+    return _rounded(metrics, 6, "accuracy", "precision", "recall", "f1", "auc")

@@ -81,41 +81,32 @@ def histogram(
 ) -> DataFrame:
     """(column, class, bin, bin_low, bin_high, n), empty bins included.
 
-    Without fixed bounds each column of each class spans its own min..max. With
-    `by`, the classes are named by the caller, which bounds the table of bounds.
+    Without fixed bounds each column of each class spans its own min..max, found
+    in a first pass over `df`. With `by`, the caller names the classes, so there
+    are at most len(columns) * len(classes) bounds.
     """
-    class_of = F.col(by) if by else F.lit(None)
+    class_of = F.col(by) if by else F.lit("all")
+    names = [str(c) for c in classes] if by else ["all"]
     wide = df.select(class_of.cast("string").alias("class"),
                      *[F.col(c).cast("double").alias(c) for c in columns])
-    if by:
-        wide = wide.filter(F.col("class").isin([str(c) for c in classes]))
-    values = wide.unpivot(["class"], list(columns), "column", "value").filter(
-        F.col("value").isNotNull())
+    values = wide.filter(F.col("class").isin(names)).unpivot(
+        ["class"], list(columns), "column", "value").filter(F.col("value").isNotNull())
     if low is None or high is None:
-        bounds = values.groupBy("column", "class").agg(
-            F.min("value").alias("lo"), F.max("value").alias("hi"))
-        flat = F.col("lo") == F.col("hi")
-        bounds = bounds.select(
-            "column", "class",
-            F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
-            F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"))
+        spans = [(r["column"], r["class"], r["lo"], r["hi"]) for r in values.groupBy(
+            "column", "class").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).collect()]
     else:
-        names = [(c, str(k) if by else None) for c in columns for k in (classes if by else [None])]
-        bounds = df.sparkSession.createDataFrame(names, "column string, class string").select(
-            "column", "class", F.lit(float(low)).alias("lo"), F.lit(float(high)).alias("hi"))
+        spans = [(c, k, float(low), float(high)) for c in columns for k in names]
         values = values.filter(F.col("value").between(low, high))
-    # At most len(columns) * len(classes) rows on the broadcast side.
-    small = F.broadcast(bounds.withColumnsRenamed({"column": "c_", "class": "k_"}))
-    binned = values.join(
-        small, (F.col("column") == F.col("c_")) & F.col("class").eqNullSafe(F.col("k_"))
-    ).groupBy("column", "class", _bin(F.col("value"), F.col("lo"), F.col("hi"), bins).alias("bin")
-              ).agg(F.count(F.lit(1)).alias("n"))
-    counts = binned.withColumnsRenamed({"column": "c_", "class": "k_", "bin": "b_"})
+    # A constant column gets bins around its value.
+    spans = [(c, k, lo - 0.5, hi + 0.5) if lo == hi else (c, k, lo, hi) for c, k, lo, hi in spans]
+    bounds = df.sparkSession.createDataFrame(
+        spans, "column string, class string, lo double, hi double")
+    counts = values.join(F.broadcast(bounds), ["column", "class"]).groupBy(
+        "column", "class", _bin(F.col("value"), F.col("lo"), F.col("hi"), bins).alias("bin")
+    ).agg(F.count(F.lit(1)).alias("n"))
     slots = bounds.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     step = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
-    match = ((F.col("column") == F.col("c_")) & F.col("class").eqNullSafe(F.col("k_"))
-             & (F.col("bin") == F.col("b_")))
-    return slots.join(F.broadcast(counts), match, "left").select(
+    return slots.join(F.broadcast(counts), ["column", "class", "bin"], "left").select(
         "column", "class", F.col("bin").cast("long").alias("bin"),
         (F.col("lo") + F.col("bin") * step).alias("bin_low"),
         (F.col("lo") + (F.col("bin") + 1) * step).alias("bin_high"),

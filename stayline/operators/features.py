@@ -15,27 +15,26 @@ from stayline.catalogue import ENCODED, ID
 from stayline.operators.quality import Vocabulary, learn_vocabulary
 
 
-def encoders_for(vocabulary: Vocabulary) -> StringIndexerModel:
+def encoders_for(vocabulary: Vocabulary) -> PipelineModel:
     """Codes 0..n-1 in alphabetical label order; an unknown label is an error."""
-    columns = [c for c in ENCODED if c in vocabulary]
-    return StringIndexerModel.from_arrays_of_labels(
-        [list(vocabulary[c]) for c in columns], inputCols=columns,
-        outputCols=[ENCODED[c] for c in columns], handleInvalid="error")
+    return PipelineModel([
+        StringIndexerModel.from_labels(
+            list(vocabulary[c]), inputCol=c, outputCol=ENCODED[c], handleInvalid="error")
+        for c in ENCODED if c in vocabulary])
 
 
-def fit_encoders(df: DataFrame) -> StringIndexerModel:
+def fit_encoders(df: DataFrame) -> PipelineModel:
     return encoders_for(learn_vocabulary(df))
 
 
-def encode(df: DataFrame, encoders: StringIndexerModel) -> DataFrame:
+def encode(df: DataFrame, encoders: PipelineModel) -> DataFrame:
     return encoders.transform(df)
 
 
-def encoder_classes(df: DataFrame, encoders: StringIndexerModel) -> DataFrame:
+def encoder_classes(df: DataFrame, encoders: PipelineModel) -> DataFrame:
     """(column, code, label) learned by the encoders."""
-    rows = [(c, i, label)
-            for c, labels in zip(encoders.getInputCols(), encoders.labelsArray)
-            for i, label in enumerate(labels)]
+    rows = [(e.getInputCol(), code, label)
+            for e in encoders.stages for code, label in enumerate(e.labels)]
     return df.sparkSession.createDataFrame(rows, "column string, code long, label string")
 
 
@@ -82,10 +81,10 @@ def assemble(df: DataFrame, columns: Sequence[str], out: str = "features") -> Da
 
 
 def feature_pipeline(
-    scaler: Scaler, suffix: str, out: str, encoders: StringIndexerModel | None = None
+    scaler: Scaler, suffix: str, out: str, encoders: PipelineModel | None = None
 ) -> PipelineModel:
     """Encode (if needed), scale and assemble, as one fitted pipeline."""
-    steps = [encoders] if encoders is not None else []
+    steps = list(encoders.stages) if encoders is not None else []
     steps += [scaler.stage(suffix), assembler([c + suffix for c in scaler.mean], out)]
     return PipelineModel(steps)
 

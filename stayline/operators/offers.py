@@ -112,24 +112,28 @@ def _by_rule(rule: Column, value_of) -> Column:
     return chain
 
 
-def with_offer(
+def offer_columns(
     df: DataFrame, style: str = "full", clv_threshold: float = 50000.0,
     prob_threshold: float = 0.7,
-) -> DataFrame:
-    """Add `Offer`: struct(rule, tag, urgency, offers, message). `full` has no message."""
+) -> dict[str, Column]:
+    """rule, tag, urgency, offers and message as expressions. `full` has no message."""
     texts = {"full": FULL_TEXTS, "single": SINGLE_TEXTS}[style]
-    category, rule = _category(df), F.col("_rule")
+    category, rule = _category(df), offer_rule(clv_threshold, prob_threshold)
     message = (_by_rule(rule, lambda n: F.lit(texts[n][2])) if style == "single"
                else F.lit(None).cast("string"))
-    offer = F.struct(
-        rule.alias("rule"),
-        _by_rule(rule, lambda n: F.lit(texts[n][0])).alias("tag"),
-        _by_rule(rule, lambda n: F.lit(URGENCY[n])).alias("urgency"),
-        _by_rule(rule, lambda n: F.array(*[_worded(t, category) for t in texts[n][1]])
-                 ).alias("offers"),
-        message.alias("message"))
-    return (df.withColumn("_rule", offer_rule(clv_threshold, prob_threshold))
-            .withColumn("Offer", offer).drop("_rule"))
+    return {
+        "rule": rule,
+        "tag": _by_rule(rule, lambda n: F.lit(texts[n][0])),
+        "urgency": _by_rule(rule, lambda n: F.lit(URGENCY[n])),
+        "offers": _by_rule(rule, lambda n: F.array(*[_worded(t, category) for t in texts[n][1]])),
+        "message": message,
+    }
+
+
+def with_offer(df: DataFrame, style: str = "full", **thresholds: float) -> DataFrame:
+    """Add `Offer`: struct(rule, tag, urgency, offers, message)."""
+    parts = offer_columns(df, style, **thresholds)
+    return df.withColumn("Offer", F.struct(*[c.alias(n) for n, c in parts.items()]))
 
 
 def short_offer(df: DataFrame, prob: Column, prob_threshold: float = 0.7) -> Column:

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stayline.functions import percent
-from stayline.operators.offers import with_offer
+from stayline.operators.offers import offer_columns
 from stayline.operators.reports import retention_filter, top_n
-from stayline.sources.exports import RETENTION_COLUMNS, select_present
+from stayline.sources.exports import RETENTION_COLUMNS
 
 SORTS = {"revenue": "PredCLV", "probability": "ChurnProb"}
 
@@ -25,10 +25,12 @@ def retention_report(
     `details`, urgency and the offer list are added to the report columns.
     """
     listed = top_n(retention_filter(scored, segments, min_prob, min_clv), SORTS[sort_by], n)
-    offered = with_offer(listed).withColumns({
-        "ChurnProbability": percent(F.col("ChurnProb")), "RetentionOffer": F.col("Offer.tag")})
-    report = select_present(offered, RETENTION_COLUMNS)
-    if not details:
-        return report
-    return offered.select(*report.columns, F.col("Offer.urgency").alias("Urgency"),
-                          F.col("Offer.offers").alias("Offers"))
+    offer = offer_columns(listed)
+    computed = {"ChurnProbability": percent(F.col("ChurnProb")), "RetentionOffer": offer["tag"]}
+    report = [computed[c].alias(c) if c in computed else c
+              for c in RETENTION_COLUMNS if c in computed or c in listed.columns]
+    if details:
+        report += [offer["urgency"].alias("Urgency"), offer["offers"].alias("Offers")]
+    # A single projection over the limit: Spark then keeps n rows per task
+    # (TakeOrderedAndProject) instead of sorting the whole at-risk set.
+    return listed.select(*report)

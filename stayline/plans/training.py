@@ -1,16 +1,15 @@
 """Fitting, selecting, saving and reloading the churn, CLV and segment models.
 
-Every fit is a Spark ML job over one persisted, deterministically laid out input;
-only model summaries and a few rows return to the driver.
+Every fit is a Spark ML job over one staged, deterministically laid out input; only model summaries and a few rows return to the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
-from contextlib import contextmanager
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 import pyspark
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -28,7 +27,10 @@ from stayline.operators.features import (
 )
 from stayline.operators.quality import learn_vocabulary
 from stayline.operators.segments import cluster_profile, segment_map, with_segment
-from stayline.sources.staging import ensure_checkpoint_dir
+from stayline.sources.staging import ensure_checkpoint_dir, stage
+
+
+MEMORY_AND_DISK = StorageLevel.MEMORY_AND_DISK
 
 
 @dataclass(frozen=True)
@@ -57,21 +59,15 @@ class TrainConfig:
                            clv_rounds=5, clv_depth=3, clv_rate=0.3, restarts=2)
 
 
-@contextmanager
-def _laid_out(df: DataFrame, columns: Sequence[str]) -> Iterator[DataFrame]:
-    """Persist the training columns in a layout that depends on the ids only.
+def laid_out(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """The training table, staged in a layout that depends on the ids only.
 
     Tree growing samples per partition, so equal data must land in equal
-    partitions for equal seeds to give equal models.
+    partitions for equal seeds to give equal models. Staging keeps the many
+    passes of the fits from deriving the table again.
     """
-    spark = df.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ready = df.select(*columns).repartition(parts, ID).sortWithinPartitions(ID)
-    ready = ready.persist(pyspark.StorageLevel.MEMORY_AND_DISK)
-    try:
-        yield ready
-    finally:
-        ready.unpersist()
+    parts = parts or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    return stage(df.repartition(parts, ID).sortWithinPartitions(ID))
 
 
 def predict_churn(model: PipelineModel, df: DataFrame) -> DataFrame:
@@ -121,6 +117,10 @@ def rfm_features(scaler: Scaler) -> PipelineModel:
     return feature_pipeline(scaler, "_s", "rfm_features")
 
 
+def rfm_vectors(df: DataFrame, scaler: Scaler) -> DataFrame:
+    return rfm_features(scaler).transform(df).select(ID, "rfm_features")
+
+
 def train_kmeans(vectors: DataFrame, k: int = 4, restarts: int = 10, seed: int = 42):
     """The cheapest of several seeded k-means fits, and its cost.
 
@@ -139,13 +139,12 @@ def elbow_curve(
     df: DataFrame, ks: Sequence[int] = range(2, 9), restarts: int = 10, seed: int = 42
 ) -> DataFrame:
     """(k, inertia) of the best fit per k over the scaled RFM vectors."""
-    with _laid_out(df, (ID,) + RFM_FEATURES) as rows:
-        vectors = rfm_features(fit_scaler(rows, RFM_FEATURES)).transform(rows).select(
-            "rfm_features").persist(pyspark.StorageLevel.MEMORY_AND_DISK)
-        try:
-            costs = [(k, float(train_kmeans(vectors, k, restarts, seed)[1])) for k in ks]
-        finally:
-            vectors.unpersist()
+    rows = laid_out(df.select(ID, *RFM_FEATURES))
+    vectors = rfm_vectors(rows, fit_scaler(rows, RFM_FEATURES)).persist(MEMORY_AND_DISK)
+    try:
+        costs = [(k, float(train_kmeans(vectors, k, restarts, seed)[1])) for k in ks]
+    finally:
+        vectors.unpersist()
     return df.sparkSession.createDataFrame(costs, "k long, inertia double")
 
 
@@ -199,41 +198,38 @@ class Models:
 def train(df: DataFrame, config: TrainConfig | None = None) -> Models:
     """Fit all models on a complete, labelled customer table."""
     config = config or TrainConfig()
-    columns = (ID,) + INPUT_NAMES + (CHURN_LABEL, CLV_LABEL)
-    with _laid_out(df, columns) as rows:
-        vocabulary = learn_vocabulary(rows)
-        features = churn_features(rows, vocabulary)
-        parts = split(rows, config.fraction, config.seed, stratify=CHURN_LABEL)
-        fit_rows = parts.filter("is_train")
-        candidates = {"rf": train_rf(fit_rows, features, config),
-                      "gbt": train_gbt(fit_rows, features, config)}
-        test = parts.filter("not is_train")
-        metrics: dict[str, object] = {}
-        for name, model in candidates.items():
-            scored = predict_churn(model, test)
-            metrics[f"{name}_auc"] = roc_auc(scored).first()["auc"]
-            metrics[f"{name}_accuracy"] = classification_metrics(scored).first()["accuracy"]
-        best = select_best({n: metrics[f"{n}_auc"] for n in candidates})
-
-        clv_parts = split(rows, config.fraction, config.seed)
-        clv_model = train_clv(
-            clv_parts.filter("is_train"), fit_scaler(rows, CLV_FEATURES), config)
-        fitted = regression_metrics(clv_model.transform(clv_parts.filter("not is_train"))
-                                    .withColumnRenamed("prediction", "PredCLV")).first()
-        metrics.update(clv_r2=fitted["r2"], clv_mae=fitted["mae"])
-
-        rfm = rfm_features(fit_scaler(rows, RFM_FEATURES))
-        vectors = rfm.transform(rows).persist(pyspark.StorageLevel.MEMORY_AND_DISK)
-        try:
-            kmeans, _ = train_kmeans(vectors, config.clusters, config.restarts, config.seed)
-            profile = cluster_profile(kmeans.transform(vectors))
-            segments = {r["Cluster"]: r["Segment"] for r in segment_map(profile).collect()}
-        finally:
-            vectors.unpersist()
-
-        sizes = {r["is_train"]: r["n"] for r in
-                 parts.groupBy("is_train").agg(F.count(F.lit(1)).alias("n")).collect()}
-        metrics.update(train_size=sizes.get(True, 0), test_size=sizes.get(False, 0))
+    rows = laid_out(df.select(ID, *INPUT_NAMES, CHURN_LABEL, CLV_LABEL))
+    vocabulary = learn_vocabulary(rows)
+    features = churn_features(rows, vocabulary)
+    parts = split(rows, config.fraction, config.seed, stratify=CHURN_LABEL)
+    fit_rows, test = parts.filter("is_train"), parts.filter("not is_train")
+    candidates = {"rf": train_rf(fit_rows, features, config),
+                  "gbt": train_gbt(fit_rows, features, config)}
+    metrics: dict[str, object] = {}
+    for name, model in candidates.items():
+        scored = stage(predict_churn(model, test).select(CHURN_LABEL, "ChurnProb", "ChurnPred"))
+        metrics[f"{name}_auc"] = roc_auc(scored).first()["auc"]
+        metrics[f"{name}_accuracy"] = classification_metrics(scored).first()["accuracy"]
+    best = select_best({n: metrics[f"{n}_auc"] for n in candidates})
+
+    clv_parts = split(rows, config.fraction, config.seed)
+    clv_model = train_clv(clv_parts.filter("is_train"), fit_scaler(rows, CLV_FEATURES), config)
+    fitted = regression_metrics(clv_model.transform(clv_parts.filter("not is_train"))
+                                .withColumnRenamed("prediction", "PredCLV")).first()
+    metrics.update(clv_r2=fitted["r2"], clv_mae=fitted["mae"])
+
+    rfm = rfm_features(fit_scaler(rows, RFM_FEATURES))
+    vectors = rfm.transform(rows).persist(MEMORY_AND_DISK)
+    try:
+        kmeans, _ = train_kmeans(vectors, config.clusters, config.restarts, config.seed)
+        profile = cluster_profile(kmeans.transform(vectors))
+        segments = {r["Cluster"]: r["Segment"] for r in segment_map(profile).collect()}
+    finally:
+        vectors.unpersist()
+
+    sizes = {r["is_train"]: r["n"] for r in
+             parts.groupBy("is_train").agg(F.count(F.lit(1)).alias("n")).collect()}
+    metrics.update(train_size=sizes.get(True, 0), test_size=sizes.get(False, 0))
     return Models(candidates[best], clv_model, PipelineModel(list(rfm.stages) + [kmeans]),
                   segments, vocabulary, best, metrics, candidates)
 
@@ -251,7 +247,8 @@ def performance(scored: DataFrame) -> DataFrame:
     Each row is counted for its own part and for `all`, in one aggregation.
     """
     part = F.explode(F.array(F.when(F.col("is_train"), "train").otherwise("test"), F.lit("all")))
-    rows = scored.select(CHURN_LABEL, "ChurnProb", "ChurnPred", part.alias("part"))
+    rows = stage(scored.select(CHURN_LABEL, "ChurnProb", "ChurnPred", "is_train")).withColumn(
+        "part", part)
     metrics = classification_metrics(rows, by=["part"])
     return metrics.join(roc_auc(rows, by=["part"]).select("part", "auc"), "part")
 
