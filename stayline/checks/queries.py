@@ -173,13 +173,13 @@ def sanitize_default(spark, folder):
 
 @_query
 def describe_numeric(spark, folder):
-    stats = explore.describe_numeric(_view(spark, folder))
+    stats = explore.describe_numeric(_staged_view(spark, folder))
     return _rounded(stats, 6, "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 @_query
 def correlation_pairs(spark, folder):
-    return _rounded(explore.correlation_pairs(_view(spark, folder)), 6, "r")
+    return _rounded(explore.correlation_pairs(_staged_view(spark, folder)), 6, "r")
 
 
 def _crosstab(spark, folder, key):

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,13 +58,24 @@ def crosstab(df: DataFrame, key: str, label: str = CHURN_LABEL) -> DataFrame:
 
 
 def correlation_pairs(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(a, b, r) for every pair of numeric columns, label excluded, in one aggregation."""
-    columns = list(columns or numeric_columns(df, exclude=(CHURN_LABEL,)))
-    pairs = list(combinations(sorted(columns), 2))
-    row = df.agg(*[F.corr(a, b).alias(f"r_{i}") for i, (a, b) in enumerate(pairs)])
-    lines = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r_{i}").alias("r"))
-             for i, (a, b) in enumerate(pairs)]
-    return row.select(F.inline(F.array(*lines)))
+    """(a, b, r) for every pair of numeric columns, label excluded.
+
+    The correlation matrix is one distributed Gram matrix over assembled vectors;
+    only the small matrix reaches the driver. A pair with nulls on either side is
+    computed over the rows where both are known. `df` is read a few times.
+    """
+    columns = sorted(columns or numeric_columns(df, exclude=(CHURN_LABEL,)))
+    vectors = VectorAssembler(inputCols=columns, outputCol="v", handleInvalid="keep").transform(
+        df.select([F.col(c).cast("double").alias(c) for c in columns])).select("v")
+    matrix = Correlation.corr(vectors, "v").first()[0].toArray()
+    found = {(a, b): float(matrix[i][j])
+             for (i, a), (j, b) in combinations(list(enumerate(columns)), 2)}
+    unclear = [pair for pair, r in found.items() if math.isnan(r)]
+    if unclear:
+        row = df.agg(*[F.corr(a, b).alias(f"r_{i}") for i, (a, b) in enumerate(unclear)]).first()
+        found.update({pair: row[f"r_{i}"] for i, pair in enumerate(unclear)})
+    return df.sparkSession.createDataFrame(
+        [(a, b, r) for (a, b), r in found.items()], "a string, b string, r double")
 
 
 def _bin(value: Column, low: Column, high: Column, bins: int) -> Column:

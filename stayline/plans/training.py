@@ -1,6 +1,7 @@
 """Fitting, selecting, saving and reloading the churn, CLV and segment models.
 
-Every fit is a Spark ML job over one staged, deterministically laid out input; only model summaries and a few rows return to the driver.
+Every fit is a Spark ML job over one staged, deterministically laid out input;
+only model summaries and a few rows return to the driver.
 """
 
 from __future__ import annotations

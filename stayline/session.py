@@ -13,6 +13,8 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # No call-site capture for each column expression: plans here are built by code.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

@@ -17,6 +17,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from stayline.catalogue import CHURN_LABEL, CLV_LABEL, DEFAULT_OF, ID, INPUT_NAMES
 
@@ -35,8 +36,18 @@ _EVENT_COLUMNS = {
 }
 
 
+_schemas: dict[str, StructType] = {}
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    """Read a table; its footer is looked at once per process, not once per query."""
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
+
+
 def star_tables(spark: SparkSession, folder: str) -> Tables:
-    return lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
+    return lambda name: _read(spark, f"{folder}/{name}.parquet")
 
 
 def _hundredths(col: Column) -> Column:
