@@ -10,6 +10,8 @@ range continues from its offset in parallel.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -34,16 +36,17 @@ def running_totals(
     ranged = stage(
         df.repartitionByRange(*by, direction).withColumn(_RANGE, F.spark_partition_id()))
 
+    keys = by + [_RANGE]
     before = W.partitionBy(*by).orderBy(_RANGE).rowsBetween(W.unboundedPreceding, -1)
-    offsets = ranged.groupBy(*by, _RANGE).agg(
-        *[F.sum(t).alias(t) for t in totals]
-    ).select(*by, _RANGE, *[
-        F.coalesce(F.sum(t).over(before), F.lit(0)).alias(f"_off_{t}") for t in totals])
+    sums = ranged.groupBy(*keys).agg(*[F.sum(t).alias(t) for t in totals])
+    offsets = sums.select(
+        *[F.col(k).alias(f"_at_{k}") for k in keys],
+        *[F.coalesce(F.sum(t).over(before), F.lit(0)).alias(f"_off_{t}") for t in totals])
 
-    keys = by + [_RANGE]
+    # Null-safe, so that a null group keeps its rows.
+    same = [F.col(k).eqNullSafe(F.col(f"_at_{k}")) for k in keys]
     upto = W.partitionBy(*keys).orderBy(direction).rowsBetween(W.unboundedPreceding, W.currentRow)
-    joined = ranged.join(offsets, keys)
-    return joined.select(*df.columns, *[
+    return ranged.join(offsets, reduce(and_, same)).select(*df.columns, *[
         (F.col(f"_off_{t}") + F.sum(t).over(upto)).alias(f"cum_{t}") for t in totals])
 
 

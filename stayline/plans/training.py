@@ -60,15 +60,20 @@ class TrainConfig:
                            clv_rounds=5, clv_depth=3, clv_rate=0.3, restarts=2)
 
 
-def laid_out(df: DataFrame, parts: int | None = None) -> DataFrame:
-    """The training table, staged in a layout that depends on the ids only.
+MIN_PARTS = 8
+
+
+def laid_out(df: DataFrame, rows_per_part: int = 250_000) -> DataFrame:
+    """The training table, staged in a layout that depends on its rows only.
 
     Tree growing samples per partition, so equal data must land in equal
-    partitions for equal seeds to give equal models. Staging keeps the many
-    passes of the fits from deriving the table again.
+    partitions for equal seeds to give equal models, on any cluster: the number
+    of partitions follows from the number of rows. The table is derived once; the
+    count, the layout and the many passes of the fits read what was staged.
     """
-    parts = parts or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return stage(df.repartition(parts, ID).sortWithinPartitions(ID))
+    derived = stage(df)
+    parts = max(MIN_PARTS, -(-derived.count() // rows_per_part))
+    return stage(derived.repartition(parts, ID).sortWithinPartitions(ID))
 
 
 def predict_churn(model: PipelineModel, df: DataFrame) -> DataFrame:

@@ -26,6 +26,14 @@ def test_rows_really_spread_over_ranges(spark, many_ranges):
     assert out.agg(F.max("cum_id")).first()[0] == 5000 * 4999 // 2
 
 
+def test_null_groups_keep_their_rows(spark, many_ranges):
+    df = spark.createDataFrame([(None, 1.0, 2), (None, 2.0, 3), ("a", 1.0, 5)],
+                               "g string, v double, n long")
+    out = order_stats.running_totals(df, "v", ["n"], by=["g"]).collect()
+    assert sorted((r["g"] or "", r["v"], r["cum_n"]) for r in out) == [
+        ("", 1.0, 2), ("", 2.0, 5), ("a", 1.0, 5)]
+
+
 def test_quantiles_with_a_dominant_value(spark, many_ranges):
     rng = np.random.default_rng(2)
     heavy = np.where(rng.random(3000) < 0.4, 7.0, rng.normal(size=3000))

@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from stayline.plans import scoring
 from stayline.plans.scorecard import Scorecard
-from stayline.sources import customers, export_csv, read_customers, requests
+from stayline.sources import customers, export_csv, keep_table, read_customers, requests
 from stayline.sources.exports import BULK_COLUMNS, select_present
 from stayline.sources.star import VIEW_COLUMNS, customer_view, partner_upload, star_tables
 from stayline.streaming import score_stream
@@ -105,3 +105,12 @@ def test_stream_output_equals_batch_output(spark, folder, tmp_path):
     both = spark.read.parquet(str(tmp_path / "out"))
     assert both.count() == 2 * batch.count()
     assert both.select("CustomerID").distinct().count() == 2 * batch.count()
+
+
+def test_kept_table_is_pruned_by_its_folders(spark, folder, tmp_path):
+    scored = scoring.score_retention(customer_view(star_tables(spark, folder)), CARD)
+    kept = keep_table(scored, str(tmp_path / "scored"), ["Segment"])
+    assert kept.select(scored.columns).exceptAll(scored).count() == 0
+    assert kept.count() == scored.count()
+    lost = kept.filter("Segment = 'Lost'")
+    assert "PartitionFilters: [isnotnull(Segment" in lost._jdf.queryExecution().toString()
