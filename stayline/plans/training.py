@@ -6,11 +6,13 @@ only model summaries and a few rows return to the driver.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import partial
 
 import pyspark
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -53,6 +55,7 @@ class TrainConfig:
     restarts: int = 10
     fraction: float = 0.8
     seed: int = 42
+    parallelism: int = 4
 
     @staticmethod
     def smoke() -> TrainConfig:
@@ -127,18 +130,34 @@ def rfm_vectors(df: DataFrame, scaler: Scaler) -> DataFrame:
     return rfm_features(scaler).transform(df).select(ID, "rfm_features")
 
 
-def train_kmeans(vectors: DataFrame, k: int = 4, restarts: int = 10, seed: int = 42):
-    """The cheapest of several seeded k-means fits, and its cost.
+def side_by_side(
+    spark: SparkSession, jobs: Mapping[str, Callable[[], object]], parallelism: int
+) -> dict[str, object]:
+    """Run independent fits from a few driver threads, so their Spark jobs overlap.
 
-    `vectors` should be persisted: each restart makes several passes.
+    A tree ensemble is a long chain of short jobs; one chain alone leaves a cluster
+    mostly idle.
     """
-    best, lowest = None, None
-    for s in range(seed, seed + restarts):
+    with ThreadPoolExecutor(max(1, min(parallelism, len(jobs)))) as pool:
+        carry = inheritable_thread_target(spark)
+        running = {n: pool.submit(carry(job)) for n, job in jobs.items()}
+        return {n: future.result() for n, future in running.items()}
+
+
+def train_kmeans(
+    vectors: DataFrame, k: int = 4, restarts: int = 10, seed: int = 42, parallelism: int = 4
+):
+    """The cheapest of several seeded k-means fits, and its cost; the lower seed wins ties.
+
+    `vectors` should be persisted or staged: each restart makes several passes.
+    """
+    def fit(s: int):
         model = KMeans(k=k, seed=s, featuresCol="rfm_features", predictionCol="Cluster").fit(vectors)
-        cost = model.summary.trainingCost
-        if lowest is None or cost < lowest:
-            best, lowest = model, cost
-    return best, lowest
+        return model, model.summary.trainingCost
+
+    seeds = {str(s): partial(fit, s) for s in range(seed, seed + restarts)}
+    fits = side_by_side(vectors.sparkSession, seeds, parallelism)
+    return min(fits.values(), key=lambda f: f[1])
 
 
 def elbow_curve(
@@ -148,7 +167,9 @@ def elbow_curve(
     rows = laid_out(df.select(ID, *RFM_FEATURES))
     vectors = rfm_vectors(rows, fit_scaler(rows, RFM_FEATURES)).persist(MEMORY_AND_DISK)
     try:
-        costs = [(k, float(train_kmeans(vectors, k, restarts, seed)[1])) for k in ks]
+        fits = side_by_side(df.sparkSession, {
+            str(k): partial(train_kmeans, vectors, k, restarts, seed, 1) for k in ks}, 4)
+        costs = [(k, float(fits[str(k)][1])) for k in ks]
     finally:
         vectors.unpersist()
     return df.sparkSession.createDataFrame(costs, "k long, inertia double")
@@ -209,30 +230,35 @@ def train(df: DataFrame, config: TrainConfig | None = None) -> Models:
     features = churn_features(rows, vocabulary)
     parts = split(rows, config.fraction, config.seed, stratify=CHURN_LABEL)
     fit_rows, test = parts.filter("is_train"), parts.filter("not is_train")
-    candidates = {"rf": train_rf(fit_rows, features, config),
-                  "gbt": train_gbt(fit_rows, features, config)}
+    clv_parts = split(rows, config.fraction, config.seed)
+    clv_scaler = fit_scaler(rows, CLV_FEATURES)
+    rfm = rfm_features(fit_scaler(rows, RFM_FEATURES))
+    vectors = rfm.transform(rows).persist(MEMORY_AND_DISK)
+    try:
+        fits = side_by_side(df.sparkSession, {
+            "gbt": partial(train_gbt, fit_rows, features, config),
+            "clv": partial(train_clv, clv_parts.filter("is_train"), clv_scaler, config),
+            "rf": partial(train_rf, fit_rows, features, config),
+            "kmeans": partial(train_kmeans, vectors, config.clusters, config.restarts, config.seed),
+        }, config.parallelism)
+        kmeans, _ = fits["kmeans"]
+        profile = cluster_profile(kmeans.transform(vectors))
+        segments = {r["Cluster"]: r["Segment"] for r in segment_map(profile).collect()}
+    finally:
+        vectors.unpersist()
+
+    candidates = {name: fits[name] for name in ("rf", "gbt")}
     metrics: dict[str, object] = {}
     for name, model in candidates.items():
         scored = stage(predict_churn(model, test).select(CHURN_LABEL, "ChurnProb", "ChurnPred"))
         metrics[f"{name}_auc"] = roc_auc(scored).first()["auc"]
         metrics[f"{name}_accuracy"] = classification_metrics(scored).first()["accuracy"]
     best = select_best({n: metrics[f"{n}_auc"] for n in candidates})
-
-    clv_parts = split(rows, config.fraction, config.seed)
-    clv_model = train_clv(clv_parts.filter("is_train"), fit_scaler(rows, CLV_FEATURES), config)
+    clv_model = fits["clv"]
     fitted = regression_metrics(clv_model.transform(clv_parts.filter("not is_train"))
                                 .withColumnRenamed("prediction", "PredCLV")).first()
     metrics.update(clv_r2=fitted["r2"], clv_mae=fitted["mae"])
 
-    rfm = rfm_features(fit_scaler(rows, RFM_FEATURES))
-    vectors = rfm.transform(rows).persist(MEMORY_AND_DISK)
-    try:
-        kmeans, _ = train_kmeans(vectors, config.clusters, config.restarts, config.seed)
-        profile = cluster_profile(kmeans.transform(vectors))
-        segments = {r["Cluster"]: r["Segment"] for r in segment_map(profile).collect()}
-    finally:
-        vectors.unpersist()
-
     sizes = {r["is_train"]: r["n"] for r in
              parts.groupBy("is_train").agg(F.count(F.lit(1)).alias("n")).collect()}
     metrics.update(train_size=sizes.get(True, 0), test_size=sizes.get(False, 0))
