@@ -22,7 +22,7 @@ from stayline.plans import retention, scoring, training
 from stayline.plans.scorecard import Scorecard
 from stayline.sources import exports
 from stayline.sources.staging import stage
-from stayline.sources.star import customer_view, partner_upload, star_tables
+from stayline.sources.star import customer_view, partner_base, partner_upload, star_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,7 +53,16 @@ def _staged_view(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
 
 
 def _upload(spark: SparkSession, folder: str) -> DataFrame:
-    return partner_upload(star_tables(spark, folder))
+    return partner_upload(partner_base(star_tables(spark, folder)))
+
+
+def _upload_and_card(spark: SparkSession, folder: str) -> tuple[DataFrame, Scorecard]:
+    """The upload, and a scorecard that knows the category labels of the clean columns.
+
+    Both come from one derivation of the customers.
+    """
+    base = stage(partner_base(star_tables(spark, folder)))
+    return partner_upload(base), Scorecard(quality.learn_vocabulary(base))
 
 
 def _predicted(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
@@ -67,11 +76,6 @@ def _scored(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return scoring.score_retention(_view(spark, folder, *needed, *columns), Scorecard())
 
 
-def _learned(spark: SparkSession, folder: str) -> Scorecard:
-    """A scorecard that knows the category labels of the default table."""
-    return Scorecard(quality.learn_vocabulary(_view(spark, folder, *CATEGORICAL)))
-
-
 def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     """Sums of doubles depend on their order; compare them rounded."""
     return df.withColumns({c: F.round(F.col(c), digits) for c in columns})
@@ -154,8 +158,8 @@ def table_profile(spark, folder):
 
 
 def _sanitized(spark, folder, unknown):
-    clean = quality.sanitize_categories(
-        _upload(spark, folder), _learned(spark, folder).vocabulary, unknown)
+    upload, card = _upload_and_card(spark, folder)
+    clean = quality.sanitize_categories(upload, card.vocabulary, unknown)
     return clean.select(ID, *CATEGORICAL)
 
 
@@ -296,7 +300,7 @@ def kpi_dashboard_empty(spark, folder):
 
 
 def _bulk(spark, folder) -> DataFrame:
-    scored, _ = scoring.score_bulk(_upload(spark, folder), _learned(spark, folder))
+    scored, _ = scoring.score_bulk(*_upload_and_card(spark, folder))
     return scored
 
 
@@ -491,7 +495,7 @@ SCORE_COLUMNS = (ID, "ChurnProb", "ChurnPred", "PredCLV", "Cluster", "Segment")
 
 @_query
 def score_dashboard(spark, folder):
-    scored = scoring.score_dashboard(_upload(spark, folder), _learned(spark, folder))
+    scored = scoring.score_dashboard(*_upload_and_card(spark, folder))
     return scored.select(*SCORE_COLUMNS, *CATEGORICAL)
 
 

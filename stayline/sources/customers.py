@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stayline.catalogue import ID, customer_schema
@@ -58,13 +57,10 @@ def keep_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> Da
     """Write a derived or scored table once and read it back, for the reports that share it.
 
     Partitioning by a filter column (Location, Segment) lets filtered reports skip
-    the other folders. Rows are spread by those columns plus a hash of the id, so a
-    value holding much of the table is not written by one task.
+    the other folders. The rebalance hint gathers each value's rows into files of
+    sensible size and splits a value that holds much of the table.
     """
     if partition_by:
-        spread = [F.col(c) for c in partition_by]
-        if ID in df.columns:
-            spread.append(F.pmod(F.xxhash64(ID), F.lit(64)))
-        df = df.repartition(*spread)
+        df = df.hint("rebalance", *partition_by)
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.parquet(path)

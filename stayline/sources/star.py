@@ -194,7 +194,12 @@ PARTNER_COLUMNS = (
 )
 
 
-def partner_upload(tables: Tables) -> DataFrame:
+def partner_base(tables: Tables) -> DataFrame:
+    """The clean columns behind an upload, with the account columns it carries along."""
+    return customer_view(tables, PARTNER_COLUMNS, extra=("c_acctbal", "c_mktsegment"))
+
+
+def partner_upload(base: DataFrame) -> DataFrame:
     """An upload as another system would send it, derived from the same tables.
 
     Ten catalogue columns, two unknown columns, no labels. Accounts in debt carry
@@ -203,8 +208,7 @@ def partner_upload(tables: Tables) -> DataFrame:
     """
     balance = F.col("c_acctbal")
     in_debt = balance < F.lit(0.0)
-    view = customer_view(tables, PARTNER_COLUMNS, extra=("c_acctbal", "c_mktsegment"))
-    return view.withColumns({
+    return base.withColumns({
         "Gender": F.when(in_debt, "U").otherwise(F.col("Gender")),
         "Location": F.when(~in_debt, F.col("Location")),
         "PreferredCategory": F.when(balance < F.lit(1000.0), F.col("c_mktsegment"))

@@ -5,7 +5,9 @@ from stayline.plans import scoring
 from stayline.plans.scorecard import Scorecard
 from stayline.sources import customers, export_csv, keep_table, read_customers, requests
 from stayline.sources.exports import BULK_COLUMNS, select_present
-from stayline.sources.star import VIEW_COLUMNS, customer_view, partner_upload, star_tables
+from stayline.sources.star import (
+    VIEW_COLUMNS, customer_view, partner_base, partner_upload, star_tables,
+)
 from stayline.streaming import score_stream
 
 WORDS = {"Gender": ["Female", "Male"], "Location": ["FRANCE", "PERU"],
@@ -26,7 +28,7 @@ def test_view_branches_do_not_change_values(spark, folder):
 
 
 def test_partial_upload_is_scored(spark, folder):
-    upload = partner_upload(star_tables(spark, folder))
+    upload = partner_upload(partner_base(star_tables(spark, folder)))
     scored, filled = scoring.score_bulk(upload, CARD)
     assert "CartAbandonRate" in filled and "Age" not in filled
     rows = scored.select("Gender", "Location", "AppUsage", "ChurnProbability", "ChurnStatus",
