@@ -18,8 +18,23 @@ def percent(prob: Column, digits: int = 2) -> Column:
     return round_even(prob * F.lit(100.0), digits)
 
 
+def at_most(col: Column, high) -> Column:
+    """Upper bound. Unlike `least`, a null stays null."""
+    return F.when(col.isNotNull(), F.least(col, F.lit(high)))
+
+
+def at_least(col: Column, low) -> Column:
+    """Lower bound. Unlike `greatest`, a null stays null."""
+    return F.when(col.isNotNull(), F.greatest(col, F.lit(low)))
+
+
 def clamp(col: Column, low, high) -> Column:
-    return F.greatest(F.least(col, F.lit(high)), F.lit(low))
+    return F.when(col.isNotNull(), F.greatest(F.least(col, F.lit(high)), F.lit(low)))
+
+
+def churn_class(prob: Column) -> Column:
+    """1 above one half, else 0; unknown for an unknown probability."""
+    return F.when(prob > F.lit(0.5), 1).when(prob.isNotNull(), 0)
 
 
 def churn_status(pred: Column) -> Column:

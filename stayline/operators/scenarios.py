@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayline.catalogue import ID
-from stayline.functions import percent, round_even
+from stayline.functions import at_least, at_most, percent, round_even
 
 # The actions, in display order.
 ACTIONS = (
@@ -60,7 +60,7 @@ def expand_scenarios(df: DataFrame, actions: Actions = ACTIONS) -> DataFrame:
         if key == "visit_freq_add":
             # The bound applies to the action only, not to the base value.
             changed[column] = F.when(over.isNull(), base).otherwise(
-                F.least(base + over, F.lit(MAX_VISITS)))
+                at_most(base + over, MAX_VISITS))
         else:
             changed[column] = F.coalesce(over, base)
         changed[column] = changed[column].cast(df.schema[column].dataType)
@@ -86,11 +86,11 @@ def default_intervention(df: DataFrame) -> DataFrame:
     """The proposed intervention applied to each customer's inputs."""
     changed = {
         "DiscountUsed": F.lit(1),
-        "CustomerSatisfaction": F.least(F.col("CustomerSatisfaction") + 1, F.lit(5)),
-        "CartAbandonRate": F.greatest(F.col("CartAbandonRate") - F.lit(0.2), F.lit(0.0)),
-        "VisitFrequency": F.least(F.col("VisitFrequency") + 3, F.lit(MAX_VISITS)),
-        "LastPurchaseDaysAgo": F.greatest(F.col("LastPurchaseDaysAgo") - 15, F.lit(1)),
-        "ComplaintHistory": F.greatest(F.col("ComplaintHistory") - 1, F.lit(0)),
+        "CustomerSatisfaction": at_most(F.col("CustomerSatisfaction") + 1, 5),
+        "CartAbandonRate": at_least(F.col("CartAbandonRate") - F.lit(0.2), 0.0),
+        "VisitFrequency": at_most(F.col("VisitFrequency") + 3, MAX_VISITS),
+        "LastPurchaseDaysAgo": at_least(F.col("LastPurchaseDaysAgo") - 15, 1),
+        "ComplaintHistory": at_least(F.col("ComplaintHistory") - 1, 0),
     }
     return df.withColumns({c: e.cast(df.schema[c].dataType) for c, e in changed.items()})
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stayline.catalogue import RFM_BASE, SEGMENTS
-from stayline.functions import clamp
+from stayline.functions import at_most, churn_class, clamp
 from stayline.operators.quality import Vocabulary
 from stayline.operators.segments import with_segment
 
@@ -36,20 +36,20 @@ class Scorecard:
     )
 
     def churn(self, df: DataFrame) -> DataFrame:
-        recency = F.lit(0.45) * F.least(F.col("LastPurchaseDaysAgo"), F.lit(540)) / F.lit(540.0)
+        recency = F.lit(0.45) * at_most(F.col("LastPurchaseDaysAgo"), 540) / F.lit(540.0)
         mood = F.lit(0.30) * (F.lit(5) - F.col("CustomerSatisfaction")) / F.lit(4.0)
         cart = F.lit(0.15) * F.col("CartAbandonRate")
         complaints = F.lit(0.10) * F.col("ComplaintHistory") / F.lit(4.0)
         prob = clamp(F.lit(0.10) + recency + mood + cart + complaints, 0.0, 1.0)
         return df.withColumn("ChurnProb", prob).withColumn(
-            "ChurnPred", F.when(F.col("ChurnProb") > 0.5, 1).otherwise(0))
+            "ChurnPred", churn_class(F.col("ChurnProb")))
 
     def clv(self, df: DataFrame) -> DataFrame:
         return df.withColumn(
             "PredCLV", F.lit(0.8) * F.col("TotalSpent") + F.lit(4.0) * F.col("AvgOrderValue"))
 
     def segment(self, df: DataFrame, clv: str) -> DataFrame:
-        """Nearest centroid; equal distances go to the lower cluster."""
+        """Nearest centroid; equal distances go to the lower cluster, unknown ones to none."""
         z = [(F.col(c) - F.lit(centre)) / F.lit(spread)
              for c, (centre, spread) in zip((*RFM_BASE, clv), UNITS)]
         distances = []
@@ -59,5 +59,6 @@ class Scorecard:
                 gap = part - F.lit(centre)
                 total = gap * gap if total is None else total + gap * gap
             distances.append(F.struct(total.alias("d"), F.lit(cluster).alias("cluster")))
-        nearest = F.least(*distances)["cluster"]
+        nearest = F.least(*distances)
+        nearest = F.when(nearest["d"].isNotNull(), nearest["cluster"])
         return with_segment(df.withColumn("Cluster", nearest), dict(enumerate(SEGMENTS)))

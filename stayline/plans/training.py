@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from stayline.catalogue import (
     CHURN_FEATURES, CHURN_LABEL, CLV_FEATURES, CLV_LABEL, ID, INPUT_NAMES, RFM_FEATURES,
 )
+from stayline.functions import churn_class
 from stayline.operators.evaluate import classification_metrics, regression_metrics, roc_auc
 from stayline.operators.features import (
     Scaler, encoders_for, feature_pipeline, fit_scaler, split,
@@ -83,7 +84,7 @@ def predict_churn(model: PipelineModel, df: DataFrame) -> DataFrame:
     kept = list(dict.fromkeys(c for c in df.columns if c not in ("ChurnProb", "ChurnPred")))
     prob = vector_to_array("probability")[1]
     return model.transform(df).select(*kept, prob.alias("ChurnProb")).withColumn(
-        "ChurnPred", F.when(F.col("ChurnProb") > 0.5, 1).otherwise(0))
+        "ChurnPred", churn_class(F.col("ChurnProb")))
 
 
 def churn_features(df: DataFrame, vocabulary: Mapping[str, Sequence[str]]) -> PipelineModel:

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from stayline.catalogue import CHURN_LABEL, CLV_LABEL, DEFAULT_OF, ID, INPUT_NAMES
+from stayline.functions import clamp
 
 Tables = Callable[[str], DataFrame]
 
@@ -155,10 +156,8 @@ def customer_view(
         "PreferredCategory": col("category"),
         "VisitFrequency": F.when(some_events, F.least(F.lit(29), col("views")))
         .otherwise(default["VisitFrequency"]).cast("int"),
-        "AvgSessionTime": F.when(
-            some_events,
-            F.greatest(F.lit(2.0), F.least(F.lit(45.0), _units(col("value")) / col("events"))),
-        ).otherwise(default["AvgSessionTime"]),
+        "AvgSessionTime": F.coalesce(
+            clamp(_units(col("value")) / col("events"), 2.0, 45.0), default["AvgSessionTime"]),
         "PagesViewed": F.when(some_events, F.least(F.lit(19), col("clicks")))
         .otherwise(default["PagesViewed"]).cast("int"),
         "PurchaseFrequency": (F.lit(12) * col("prior_orders")).cast("double") / months,

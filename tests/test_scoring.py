@@ -65,6 +65,19 @@ def test_clv_source_options(spark):
     assert scoring.score(df.drop("CLV"), CARD).first()["Cluster"] == z["predicted"]
 
 
+def test_unknown_inputs_stay_unknown(spark):
+    row = {"CustomerID": 1, "LastPurchaseDaysAgo": None, "CustomerSatisfaction": 3}
+    scored, _ = scoring.score_bulk(requests(spark, [row]), CARD, null_rows="keep")
+    got = scored.first()
+    assert got["ChurnProb"] is None and got["ChurnPred"] is None and got["Segment"] is None
+    assert got["ChurnStatus"] == "Unknown" and got["PredCLV"] is not None
+    assert got["RetentionOffer"] == "Champions Club invite + Gift voucher ₹2000"
+    filled, _ = scoring.score_bulk(requests(spark, [row]), CARD, null_rows="default")
+    assert filled.first()["ChurnStatus"] in ("Will Return", "Will Churn")
+    with pytest.raises(Exception, match="null value"):
+        scoring.score_bulk(requests(spark, [row]), CARD)[0].collect()
+
+
 def test_scoring_does_not_depend_on_partitions(spark, folder):
     view = customer_view(star_tables(spark, folder))
     one = scoring.score_retention(view.coalesce(1), CARD)

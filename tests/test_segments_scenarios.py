@@ -113,3 +113,12 @@ def test_impact_reports_both_sides(spark, base):
     assert row["clv_change"] == 100.0 and row["after_clv"] == 20300.0
     assert row["risk_reduction"] == pytest.approx(row["before_pct"] - row["after_pct"])
     assert row["risk_reduction"] > 0
+
+
+def test_unknown_inputs_are_not_bounded(spark, base):
+    unknown = base.withColumns({c: F.lit(None).cast(base.schema[c].dataType) for c in (
+        "VisitFrequency", "LastPurchaseDaysAgo", "CustomerSatisfaction")})
+    row = scenarios.default_intervention(unknown).first()
+    assert row["VisitFrequency"] is None and row["LastPurchaseDaysAgo"] is None
+    added = scenarios.expand_scenarios(unknown, [("Visits", {"visit_freq_add": 5})]).first()
+    assert added["VisitFrequency"] is None
