@@ -80,7 +80,8 @@ def test_trained_models_score_uploads_and_scenarios(spark, planted, models):
     assert regression_metrics(full).first()["r2"] > 0.8
     # The label column is untouched by the CLV choice of the segmentation.
     requested = scoring.score_requests(planted, models)
-    assert requested.select("CustomerID", "CLV").exceptAll(planted.select("CustomerID", "CLV")).count() == 0
+    labels = requested.select("CustomerID", "CLV")
+    assert labels.exceptAll(planted.select("CustomerID", "CLV")).count() == 0
 
     from stayline.operators.scenarios import best_action, sensitivity
     effects = sensitivity(planted.limit(50), models)
