@@ -4,7 +4,8 @@ On a bounded sample: an exact neighbour graph, cut into equal parts by recursive
 is halved at the median of the graph's slowest smooth mode, so few neighbours are
 separated), and a small network trained to tell a vector's part from the parts of its neighbours.
 The network puts every vector of the table into its most probable part and sends each query to the
-`probes` most probable ones, where it is compared exactly, in double precision.
+most probable ones, where it is compared exactly, in double precision. How many is measured: the
+fewest that find `recall` of the neighbours of sample rows which training didn't see.
 
 Parts are dealt out in blocks of rows against blocks of queries, so that neither a large part nor a
 vector with many copies fills one task. Part counts come to the driver, vectors don't.
@@ -69,7 +70,7 @@ class Router:
 
     @classmethod
     def train(cls, vectors: np.ndarray, graph: np.ndarray, part: np.ndarray, parts: int,
-              hidden: int = 128, epochs: int = 30, seed: int = 7) -> Router:
+              hidden: int = 256, epochs: int = 30, seed: int = 7) -> Router:
         random, (n, width) = np.random.default_rng(seed), vectors.shape
         target = np.zeros((n, parts))
         np.add.at(target, (np.arange(n), part), 1.0)
@@ -93,6 +94,17 @@ class Router:
                     w[i] -= 0.005 * (mean[i] / (1 - 0.9 ** step)) / (np.sqrt(square[i] / (1 - 0.999 ** step)) + 1e-8)
         return model
 
+    def probes_for(self, recall: float, queries: np.ndarray, rows: np.ndarray, k: int) -> int:
+        """The fewest probes that reach a share of the queries' k nearest rows."""
+        if not len(queries):
+            return self.parts
+        near = np.argsort(-(queries @ rows.T), axis=1, kind="stable")[:, :k]
+        order = np.argsort(-self.probabilities(queries), axis=1, kind="stable")
+        place = np.argsort(order, axis=1)
+        home = self.probabilities(rows).argmax(axis=1)
+        ranks = np.sort(np.take_along_axis(place, home[near], axis=1).ravel())
+        return int(ranks[min(len(ranks) - 1, math.ceil(recall * len(ranks)))]) + 1
+
     @staticmethod
     def _softmax(logits: np.ndarray) -> np.ndarray:
         logits = np.exp(logits - logits.max(axis=1, keepdims=True))
@@ -121,8 +133,8 @@ def usable(vector: str) -> Column:
 
 
 def part_count(rows: int, most: int = 256) -> int:
-    """Parts for a table: the power of two at or below a quarter of the root of its rows."""
-    return 1 << int(math.log2(min(most, max(1.0, math.sqrt(rows) / 4))))
+    """Parts for a table: the power of two at or below half the root of its rows."""
+    return 1 << int(math.log2(min(most, max(1.0, math.sqrt(rows) / 2))))
 
 
 def _best(queries: pa.Table, rows: pa.Table, k: int) -> tuple[list[np.ndarray], ...]:
@@ -147,7 +159,7 @@ def _best(queries: pa.Table, rows: pa.Table, k: int) -> tuple[list[np.ndarray],
 
 def nearest(
     table: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 5,
-    parts: int | None = None, probe_share: float = 0.25, sample: int = 8192, degree: int = 10,
+    parts: int | None = None, recall: float = 0.95, sample: int = 8192, degree: int = 10,
     block: int = 8192, query_block: int = 4096,
 ) -> DataFrame:
     """Per query its k nearest other rows found: query_id, rank (from 1), vec_id, score.
@@ -168,11 +180,15 @@ def nearest(
     parts = parts or part_count(sizes["count"])
     chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vector").toArrow()
     learned = _unit(_matrix(chosen.column(0)))
+    learned, unseen = learned[len(learned) // 8:], learned[:len(learned) // 8]
     while parts > 1 and len(learned) < 8 * parts:
         parts //= 2
+    probes = 1
     if parts > 1:
         graph = neighbour_graph(learned, degree)
-        router = Router.train(learned, graph, balanced_parts(graph, parts), parts)
+        part = balanced_parts(graph, parts)
+        router = Router.train(learned, graph, part, parts)
+        probes = router.probes_for(recall, unseen, learned, k)
     else:
         router = Router(1, [np.zeros((sizes.width, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)])
     shared = spark.sparkContext.broadcast(router)
@@ -188,7 +204,6 @@ def nearest(
     count = np.zeros(parts, np.int64)
     for row in placed.groupBy("part").count().collect():  # one row a part
         count[row.part] = row["count"]
-    probes = max(1, math.ceil(parts * probe_share))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
