@@ -26,8 +26,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from stayline.llm.common import kept, text_of
 
@@ -211,12 +213,39 @@ def _window_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.
             ], names=[*SEGMENT, "first", "w1", "w2"])
 
 
-def repeated_spans(rows: DataFrame, window: int = WINDOW, most_in_group: int = 20_000) -> DataFrame:
-    """From rows (rid, text) with unique rids: rid and `spans`, its array of (start, end) to remove.
+def _zipped(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """Column `at`, a text, as compressed UTF-8; null stays null."""
+    press = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        packed = [None if t is None else press.compress(t.encode()) for t in batch.column(at).to_pylist()]
+        columns = list(batch.columns)
+        columns[at] = pa.array(packed, pa.binary())
+        yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+
+
+def _unzip(packed: bytes | None) -> bytes:
+    return b"" if packed is None else zstandard.ZstdDecompressor().decompress(packed)
+
+
+def _segment_bytes(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Rows (packed text, its wanted segments) to one row a segment with its bytes."""
+    for batch in batches:
+        for packed, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            raw = _unzip(packed)
+            out = {c: [w[c] for w in wanted] for c in (*SEGMENT, "kinds", "anchor", "windows")}
+            out["bytes"] = [raw[w["start"]:w["start"] + w["windows"] + window - 1] for w in wanted]
+            yield pa.RecordBatch.from_pydict(out)
+
+
+def repeated_spans(
+    rows: DataFrame, zipped: DataFrame, window: int = WINDOW, most_in_group: int = 20_000,
+) -> DataFrame:
+    """From rows (rid, text) with unique rids, and the same as (rid, zip): rid and `spans`, its array
+    of (start, end) to remove.
 
-    `rows` must give the same rows each time it is evaluated, as a table scan does.
+    Both must give the same rows each time they are evaluated, as a table scan does.
     """
-    found = kept(rows.select("rid", "text").mapInArrow(
+    found = kept(rows.mapInArrow(
         lambda b: _segment_rows(b, window),
         "m long, h1 long, h2 long, rid long, start long, anchor long, windows long"))
     distinct = found.groupBy(*SEGMENT).agg(
@@ -224,9 +253,11 @@ def repeated_spans(rows: DataFrame, window: int = WINDOW, most_in_group: int = 2
     shared = distinct.groupBy("m").agg(F.count(F.lit(1)).alias("kinds"), F.sum("copies").alias("all")) \
         .filter("all > 1").select("m", "kinds")
     live = kept(distinct.join(shared, "m").select(*SEGMENT, "copies", "kinds", "one.*"))
-    contested = live.filter("kinds > 1").join(rows, "rid").select(
-        *SEGMENT, "anchor", "windows", "kinds",
-        F.expr(f"substring(cast(text as binary), cast(start + 1 as int), cast(windows as int) + {window - 1})").alias("bytes"))
+    wanted = live.filter("kinds > 1").groupBy("rid").agg(
+        F.collect_list(F.struct(*SEGMENT, "kinds", "start", "anchor", "windows")).alias("wanted"))
+    contested = zipped.select("rid", "zip").join(wanted, "rid").select("zip", "wanted").mapInArrow(
+        lambda b: _segment_bytes(b, window),
+        "m long, h1 long, h2 long, kinds long, anchor long, windows long, bytes binary")
     columns = [*SEGMENT, "anchor", "windows", "bytes"]
     calm = contested.filter(F.col("kinds") <= most_in_group).select(columns)
     runs = "m long, h1 long, h2 long, first long, last long"
@@ -272,25 +303,34 @@ def remove_repeats(
     """
     if window < GRAM:
         raise ValueError(f"windows have {GRAM} bytes at least")
-    rid = F.monotonically_increasing_id()
-    spans = repeated_spans(docs.select(rid.alias("rid"), text_of(text).alias("text")), window, most_in_group) \
-        .select(F.col("rid").alias("_stay_rid"), F.col("spans").alias("_stay_spans"))
-    own = [c for c in docs.columns if c != into]
-    joined = docs.select(*own, text_of(text).alias("_stay_text"), rid.alias("_stay_rid")) \
-        .join(spans, "_stay_rid", "left").select("_stay_text", "_stay_spans", *own)
+    rid = F.monotonically_increasing_id().alias("_stay_rid")
+    own = [c for c in docs.columns if c not in (into, text)]
+    # Texts are shuffled compressed.
+    plain = docs.select(rid, F.col(text).cast("string").alias("_stay_zip"), *own)
+    kinds = StructType([StructField("_stay_rid", LongType()), StructField("_stay_zip", BinaryType()), *plain.schema.fields[2:]])
+    zipped = plain.mapInArrow(lambda b: _zipped(b, 1), kinds)
+    spans = repeated_spans(
+        docs.select(rid, text_of(text).alias("text")).withColumnRenamed("_stay_rid", "rid"),
+        zipped.select(F.col("_stay_rid").alias("rid"), F.col("_stay_zip").alias("zip")), window, most_in_group)
+    joined = zipped.join(spans.select(F.col("rid").alias("_stay_rid"), F.col("spans").alias("_stay_spans")), "_stay_rid", "left") \
+        .select("_stay_zip", "_stay_spans", *own)
+    order = [*[c for c in docs.columns if c != into], into]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [t.encode() for t in batch.column(0).to_pylist()]
-            cut = [_cut(r, s) for r, s in zip(raw, batch.column(1).to_pylist(), strict=True)]
-            found = pa.StructArray.from_arrays([
-                pa.array([len(r) for r in raw], pa.int64()),
-                pa.array([len(r) - len(k) for r, (k, _) in zip(raw, cut, strict=True)], pa.int64()),
+            raw = [None if z is None else _unzip(z) for z in batch.column(0).to_pylist()]
+            cut = [_cut(r or b"", s) for r, s in zip(raw, batch.column(1).to_pylist(), strict=True)]
+            made = dict(zip(own, batch.columns[2:], strict=True))
+            made[text] = pa.array([None if r is None else r.decode() for r in raw], pa.string())
+            made[into] = pa.StructArray.from_arrays([
+                pa.array([len(r or b"") for r in raw], pa.int64()),
+                pa.array([len(r or b"") - len(k) for r, (k, _) in zip(raw, cut, strict=True)], pa.int64()),
                 pa.array([n for _, n in cut], pa.int64()), pa.array([k for k, _ in cut], pa.binary()),
                 pa.array([k.decode(errors="ignore") for k, _ in cut], pa.string()),
             ], names=["n_bytes", "n_removed", "n_spans", "kept", "kept_text"])
-            yield pa.RecordBatch.from_arrays([*batch.columns[2:], found], names=[*batch.schema.names[2:], into])
+            yield pa.RecordBatch.from_arrays([made[c] for c in order], names=order)
 
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in joined.schema.fields[2:])
-    return joined.mapInArrow(
-        run, f"{fields}`{into}` struct<n_bytes: long, n_removed: long, n_spans: long, kept: binary, kept_text: string>")
+    found = StructType().add("n_bytes", LongType()).add("n_removed", LongType()).add("n_spans", LongType()) \
+        .add("kept", BinaryType()).add("kept_text", StringType())
+    fields = {f.name: f for f in plain.schema.fields} | {text: StructField(text, StringType()), into: StructField(into, found)}
+    return joined.mapInArrow(run, StructType([fields[c] for c in order]))
