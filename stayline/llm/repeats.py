@@ -158,12 +158,10 @@ def column_repeats(
             stay = closes[order] < column
             if not stay.all():
                 # Who leaves hands its common prefix on to the next one that stays.
-                runs = np.flatnonzero(stay)
-                if len(runs):
-                    starts = np.concatenate([[0], runs[:-1] + 1])
-                    common = np.minimum.reduceat(common, starts)
-                order = order[runs]
-                common = common[:len(runs)]
+                rest = np.flatnonzero(stay)
+                if len(rest):
+                    common = np.minimum.reduceat(common[:rest[-1] + 1], np.concatenate([[0], rest[:-1] + 1]))
+                order, common = order[rest], common[:len(rest)]
     out = np.zeros((d, int(windows.max())), bool)
     for i, (s, w) in enumerate(zip(shift.tolist(), windows.tolist(), strict=True)):
         out[i, :w] = repeats[s:s + w, i]
