@@ -61,10 +61,9 @@ def op6_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
-    place = shared_folder(spark)
-    shards = token_files.write_token_files(
-        table(spark, folder, "documents"), place, public_tokenizers.path(BYTE_BPE))
-    found = token_files.read_token_files(spark, place, shards)
+    place, tokenizer = shared_folder(spark), public_tokenizers.path(BYTE_BPE)
+    shards = token_files.write_token_files(table(spark, folder, "documents"), place, tokenizer, end_id=2)
+    found = token_files.read_token_files(spark, place, shards, token_files.id_type(tokenizer, 2))
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

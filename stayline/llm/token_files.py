@@ -1,8 +1,9 @@
 """Token-id output: flat files of unsigned integers with 64-bit document offsets.
 
-Documents are range-partitioned by id; each task writes one shard of two files, the ids
-(`.bin`, little-endian unsigned 32-bit) and the offsets (`.idx`, little-endian signed
-64-bit: documents + 1 positions within the shard). A prefix sum over the shards' id counts,
+Documents are range-partitioned by id; each task writes one shard of three files, the ids
+(`.bin`, little-endian unsigned: 16 bits where the vocabulary and the end id fit, else 32), the
+offsets (`.idx`, little-endian signed 64-bit: documents + 1 positions within the shard) and the
+documents' ids (`.key`). A prefix sum over the shards' id counts,
 one number per partition, gives each shard its base. Reading maps the files into memory.
 
 The folder must be on a file system that every executor mounts. A task writes under a name of
@@ -13,7 +14,6 @@ from __future__ import annotations
 
 import os
 import uuid
-import zlib
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
 
@@ -35,6 +35,12 @@ def local_path(folder: str) -> str:
     return unquote(parts.path)
 
 
+def id_type(tokenizer: str, end_id: int | None) -> str:
+    """The narrowest of the two file types that holds every id."""
+    most = max(encoder(tokenizer).tokenizer.get_vocab_size(), (end_id or 0) + 1)
+    return "<u2" if most <= 1 << 16 else "<u4"
+
+
 def _replace(path: str, data: bytes | list[bytes]) -> None:
     own = f"{path}.{uuid.uuid4().hex}"
     with open(own, "wb") as file:
@@ -58,6 +64,7 @@ def write_token_files(
     rows = rows.repartitionByRange(parts, F.col("key").asc_nulls_first(), "text") \
         .sortWithinPartitions(F.col("key").asc_nulls_first(), "text")
     tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
+    width = id_type(tokenizer, end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
@@ -68,8 +75,7 @@ def write_token_files(
             for batch in batches:
                 keys += batch.column(0).to_pylist()
                 for ids in coder.encode(batch.column(1).to_pylist()):
-                    file.write(ids)
-                    file.write(tail)
+                    file.write(np.frombuffer(ids + tail, "<u4").astype(width).tobytes())
                     at += (len(ids) + len(tail)) // 4
                     ends.append(at)
         if not keys:
@@ -89,8 +95,11 @@ def write_token_files(
     return spark.createDataFrame(out, "shard long, docs long, ids long, base long")
 
 
-def read_token_files(spark: SparkSession, folder: str, shards: DataFrame) -> DataFrame:
-    """Per document from the files: doc_id, start, n_tokens and the ids as bytes."""
+def read_token_files(spark: SparkSession, folder: str, shards: DataFrame, width: str = "<u2") -> DataFrame:
+    """Per document from the files: doc_id, start, n_tokens and ids (bytes, unsigned 32-bit).
+
+    `width` is the files' type, as `id_type` gives it.
+    """
     root = local_path(folder)
     n = max(1, min(shards.count(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
@@ -102,7 +111,7 @@ def read_token_files(spark: SparkSession, folder: str, shards: DataFrame) -> Dat
                 size = len(ends) - 1
                 raw = np.memmap(f"{name}.key", "u1", "r")
                 keys, known = raw[:8 * size].view("<i8"), raw[8 * size:].view(bool)
-                ids = np.memmap(f"{name}.bin", "<u4", "r") if ends[-1] else np.zeros(0, "<u4")
+                ids = np.memmap(f"{name}.bin", width, "r") if ends[-1] else np.zeros(0, width)
                 first = 0
                 while first < size:  # pieces of about four million ids
                     last = max(first + 1, int(np.searchsorted(ends, ends[first] + 4_000_000)) - 1)
@@ -111,13 +120,9 @@ def read_token_files(spark: SparkSession, folder: str, shards: DataFrame) -> Dat
                         pa.array(keys[first:last], mask=~known[first:last]),
                         pa.array(ends[first:last] + base),
                         pa.array(np.diff(ends[first:last + 1])),
-                        pa.array([ids[a:b].tobytes() for a, b in zip(ends[first:last], ends[first + 1:last + 1], strict=True)], pa.binary()),
+                        pa.array([ids[a:b].astype("<u4").tobytes() for a, b in zip(ends[first:last], ends[first + 1:last + 1], strict=True)], pa.binary()),
                     ], names=["doc_id", "start", "n_tokens", "ids"])
                     first = last
 
     return shards.repartition(n, "shard").mapInArrow(
         run, "doc_id long, start long, n_tokens long, ids binary")
-
-
-def crc32_of(ids: bytes) -> int:
-    return zlib.crc32(ids)
