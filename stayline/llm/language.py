@@ -20,6 +20,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -197,10 +198,11 @@ def fit(
     sample = sample.dropDuplicates(["lang", "mark"]).select("lang", "text")
     counts = sample.mapInArrow(_count_grams(order), "lang string, size long, code long, n long") \
         .groupBy("lang", "size", "code").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "size", "lang", "code").limit(most_grams).toPandas()
-    names = sorted(top.lang.unique())
-    top["lang"] = top.lang.map({n: i for i, n in enumerate(names)})
-    return LanguageModel.build(names, order, top)
+    top = counts.orderBy(F.desc("n"), "size", "lang", "code").limit(most_grams).toArrow()
+    names = sorted(pc.unique(top["lang"]).to_pylist())
+    at = pc.index_in(top["lang"], pa.array(names, pa.string()))
+    return LanguageModel.build(names, order, pd.DataFrame(
+        {"lang": at.to_numpy(), **{c: top[c].to_numpy() for c in ("size", "code", "n")}}))
 
 
 def predictor(docs: DataFrame, model: LanguageModel) -> Callable[[Column], Column]:

@@ -193,6 +193,13 @@ def test_url_rules(spark):
         ("", "", None, "allow"), ("b.example.net", "", None, "allow"), ("notexample.com", "/de/", None, "allow")]
 
 
+def test_url_query_equals_its_sql(spark, folder):
+    from check import connect, differences
+
+    got = queries.op8_urls(spark, folder).toPandas()
+    assert differences(got, connect(folder).execute(queries.all_sql()["op8_urls"]).fetchdf()) == []
+
+
 def shingles(text):
     words = text.split()
     return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))}
