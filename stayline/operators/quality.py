@@ -28,16 +28,16 @@ def apply_null_policy(df: DataFrame, null_rows: str = "fail") -> DataFrame:
         return df
     if null_rows not in ("fail", "default"):
         raise ValueError(f"unknown null policy: {null_rows}")
-    fixed = {}
-    for name in NUMERIC:
-        if name not in df.columns:
-            continue
-        if null_rows == "default":
-            instead = F.lit(DEFAULT_OF[name])
-        else:
-            instead = F.raise_error(F.lit(f"null value in {name}"))
-        fixed[name] = F.coalesce(F.col(name), instead.cast(df.schema[name].dataType))
-    return df.withColumns(fixed) if fixed else df
+    present = [n for n in NUMERIC if n in df.columns]
+    if not present:
+        return df
+    if null_rows == "default":
+        return df.withColumns({
+            n: F.coalesce(F.col(n), F.lit(DEFAULT_OF[n]).cast(df.schema[n].dataType)) for n in present})
+    # A filter, not a column: it holds whatever columns are selected later.
+    first = F.coalesce(*[F.when(F.col(n).isNull(), F.lit(n)) for n in present])
+    broken = F.raise_error(F.concat(F.lit("null value in "), first)).cast("boolean")
+    return df.filter(F.when(first.isNotNull(), broken).otherwise(F.lit(True)))
 
 
 def learn_vocabulary(

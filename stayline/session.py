@@ -15,6 +15,8 @@ DEFAULTS = {
     # instead of sorting the line items.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
     "spark.sql.session.timeZone": "UTC",
+    # Staged tables go with the last reference to them.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # No call-site capture for each column expression: plans here are built by code.
     "spark.python.sql.dataFrameDebugging.enabled": "false",

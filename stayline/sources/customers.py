@@ -10,18 +10,33 @@ from pyspark.sql import types as T
 from stayline.catalogue import customer_schema
 
 
+#: Where rows that don't parse are kept whole, if asked for.
+BROKEN = "_broken_row"
+
+
 def read_customers(
-    spark: SparkSession, path: str, schema: T.StructType | str | None = None, infer: bool = False
+    spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None,
+    infer: bool = False, mode: str = "FAILFAST", broken: bool = False,
 ) -> DataFrame:
-    """Read a customer CSV with a header row.
+    """Read customer CSVs with a header row; columns are matched by name.
 
-    `infer=True` is for uploads holding an unknown subset of the columns; it
-    costs one more pass over the file.
+    The header gives the order, the schema (by default the catalogue) the types; columns it
+    doesn't know are strings, columns the file doesn't have stay absent. Files whose header
+    differs from the first one's are refused. A value that doesn't parse fails the query;
+    `mode="PERMISSIVE"` makes it null, and `broken=True` then adds the row's text as BROKEN.
+    `infer=True` is for uploads of unknown types; it costs one more pass over the file.
     """
     reader = spark.read.option("header", True)
     if infer:
         return reader.option("inferSchema", True).csv(path)
-    return reader.schema(schema or customer_schema()).csv(path)
+    known = {f.name: f.dataType for f in (schema or customer_schema()).fields}
+    header = reader.csv(path if isinstance(path, str) else path[0]).columns
+    typed = T.StructType([T.StructField(c, known.get(c, T.StringType())) for c in header])
+    reader = reader.option("enforceSchema", False).option("mode", mode)
+    if broken:
+        typed = typed.add(BROKEN, T.StringType())
+        reader = reader.option("columnNameOfCorruptRecord", BROKEN)
+    return reader.schema(typed).csv(path)
 
 
 def requests(spark: SparkSession, rows: Iterable[Mapping[str, object]]) -> DataFrame:

@@ -1,26 +1,29 @@
-"""Cut lineage through reliable storage, so several passes share one evaluation.
+"""Share one evaluation between several passes.
 
-The files live in the session's checkpoint folder (shared storage on a
-cluster), hence a lost executor costs a re-read and not a re-computation, and
-every pass sees the same rows in the same partitions.
+Where the session names a checkpoint folder (shared storage on a cluster), lineage is cut
+there: a lost executor costs a re-read and not a re-computation, and every pass sees the same
+rows in the same partitions. Without one, rows are kept by the executors, and what is lost
+is computed again. Nothing is ever written to a machine's own folder.
 """
 
 from __future__ import annotations
 
-import tempfile
-
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the session names; make one only where none is set."""
+def has_checkpoint_dir(spark: SparkSession) -> bool:
+    """Whether there is a folder to cut lineage in; the one the session names is used."""
     context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="stayline-checkpoint-"))
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None:
+            return False
+        context.setCheckpointDir(named)
+    return True
 
 
 def stage(df: DataFrame) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    if has_checkpoint_dir(df.sparkSession):
+        return df.checkpoint(eager=True)
+    return df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -2,26 +2,57 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from stayline.catalogue import customer_schema
+from stayline.catalogue import NUMERIC, customer_schema
 from stayline.plans.scoring import Scorer, score_bulk
+from stayline.sources.customers import BROKEN, read_customers
+
+#: What Spark's file reader tells about a file; only the path is read.
+FILES = "path string, modificationTime timestamp, length long, content binary"
+
+
+def _split_off(rows: DataFrame, nulls_too: bool) -> tuple[DataFrame, DataFrame]:
+    """Rows that can be scored, and rows that don't parse or have a null number."""
+    bad = F.col(BROKEN).isNotNull()
+    if nulls_too:
+        bad = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in rows.columns if c in NUMERIC], bad)
+    return rows.filter(~bad).drop(BROKEN), rows.filter(bad)
 
 
 def score_stream(
     spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, scorer: Scorer,
-    schema: T.StructType | None = None, null_rows: str = "fail", once: bool = True,
+    schema: T.StructType | None = None, null_rows: str = "reject", reject_dir: str | None = None,
+    once: bool = True, files_per_batch: int = 64,
 ) -> StreamingQuery:
     """Bulk-score every new CSV in `in_dir` into parquet files in `out_dir`.
 
-    The plan is stateless, so it needs no watermark; the checkpoint makes each file
-    count once. `once` stops after the files present now.
+    The stream carries file names; each file is read by its own header, so files may differ in
+    column order and set. Rows that don't parse, and with `null_rows="reject"` rows with a null
+    number, go as text to `reject_dir` (default: a sibling of `out_dir`) and don't stop the stream;
+    `null_rows="default"` fills nulls. Output lies in one folder per batch, which a repeated batch
+    overwrites, so each file counts once. `once` stops after the files present now.
     """
-    arriving = spark.readStream.option("header", True).schema(
-        schema or customer_schema(with_labels=False)).csv(in_dir)
-    scored, _ = score_bulk(arriving, scorer, null_rows=null_rows)
-    writer = scored.writeStream.format("parquet").option("path", out_dir).option(
-        "checkpointLocation", checkpoint)
+    rejected = reject_dir or out_dir.rstrip("/") + "_rejected"
+    types = schema or customer_schema(with_labels=False)
+
+    def work(batch: DataFrame, number: int) -> None:
+        paths = [r.path for r in batch.select("path").collect()]  # at most files_per_batch
+        for k, path in enumerate(sorted(paths)):
+            rows = read_customers(spark, path, types, mode="PERMISSIVE", broken=True)
+            good, bad = _split_off(rows, null_rows == "reject")
+            scored, _ = score_bulk(good, scorer, null_rows="keep" if null_rows == "reject" else null_rows)
+            place = f"batch={number}/file={k}"
+            scored.write.mode("overwrite").parquet(f"{out_dir}/{place}")
+            bad.select(F.lit(path).alias("path"), F.to_json(F.struct(*bad.columns)).alias("row")) \
+                .write.mode("overwrite").parquet(f"{rejected}/{place}")
+
+    names = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", "*.csv") \
+        .option("maxFilesPerTrigger", files_per_batch).load(in_dir).select("path")
+    writer = names.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

@@ -110,7 +110,7 @@ def test_stream_output_equals_batch_output(spark, folder, tmp_path):
     args = (spark, arrived, str(tmp_path / "out"), str(tmp_path / "state"), CARD)
     score_stream(*args).awaitTermination()
     stream = spark.read.parquet(str(tmp_path / "out"))
-    batch, _ = scoring.score_bulk(read_customers(spark, arrived).drop("ChurnRisk", "CLV"), CARD)
+    batch, _ = scoring.score_bulk(read_customers(spark, arrived), CARD)
     columns = ["CustomerID", "ChurnProbability", "PredCLV", "Segment", "RetentionOffer"]
     assert stream.count() == batch.count()
     assert stream.select(columns).exceptAll(batch.select(columns)).count() == 0
@@ -129,3 +129,41 @@ def test_kept_table_is_pruned_by_its_folders(spark, folder, tmp_path):
     assert kept.count() == scored.count()
     lost = kept.filter("Segment = 'Lost'")
     assert "PartitionFilters: [isnotnull(Segment" in lost._jdf.queryExecution().toString()
+
+
+def _csv(folder, text):
+    folder.mkdir(exist_ok=True)
+    (folder / f"{len(list(folder.iterdir()))}.csv").write_text(text)
+    return str(folder)
+
+
+def test_csv_columns_are_matched_by_name(spark, tmp_path):
+    swapped = read_customers(spark, _csv(tmp_path / "a", "TotalSpent,CustomerID,Note,Age\n111.5,7,hi,30\n"))
+    assert swapped.first().asDict() == {"TotalSpent": 111.5, "CustomerID": 7, "Note": "hi", "Age": 30}
+    assert dict(swapped.dtypes)["Note"] == "string"
+    broken = _csv(tmp_path / "b", "CustomerID,Age\n1,old\n2,40\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_customers(spark, broken).collect()
+    rows = read_customers(spark, broken, mode="PERMISSIVE", broken=True).orderBy("CustomerID").collect()
+    assert [(r.Age, r["_broken_row"]) for r in rows] == [(None, "1,old"), (40, None)]
+    _csv(tmp_path / "b", "Age,CustomerID\n50,3\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_customers(spark, broken, mode="PERMISSIVE").collect()
+
+
+def test_stream_reads_each_file_by_its_header_and_puts_bad_rows_aside(spark, tmp_path):
+    folder = tmp_path / "in"
+    _csv(folder, "CustomerID,Age,TotalSpent\n1,30,100.0\n2,,5.0\n")
+    _csv(folder, "Extra,TotalSpent,CustomerID\nx,200.0,3\ny,much,4\n")
+    score_stream(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "state"), CARD).awaitTermination()
+    out = spark.read.option("mergeSchema", True).parquet(str(tmp_path / "out"))
+    assert {(r.CustomerID, r.TotalSpent) for r in out.collect()} == {(1, 100.0), (3, 200.0)}
+    assert spark.read.parquet(str(tmp_path / "out_rejected")).count() == 2
+
+
+@pytest.mark.parametrize("columns", [["*"], ["ChurnProb"], ["CustomerID"]])
+def test_null_policy_holds_for_every_selection(spark, columns):
+    rows = requests(spark, [{"CustomerID": 1, "Age": None, "TotalSpent": 5.0}, {"CustomerID": 2, "Age": 30, "TotalSpent": 5.0}])
+    for scored in (scoring.score_requests(rows, CARD), scoring.score_dashboard(rows, CARD), scoring.score_bulk(rows, CARD)[0]):
+        with pytest.raises(Exception, match="null value in Age"):
+            scored.select(*columns).collect()
