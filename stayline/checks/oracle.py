@@ -512,7 +512,7 @@ FROM scored GROUP BY 1"""
   round(avg(PredCLV), 6) AS avg_clv FROM {positions} JOIN scored ON Segment = name GROUP BY i, name"""
     sql["clv_by_segment_all"] = S + f"""SELECT CAST(i AS BIGINT) AS position, name AS Segment,
   round(avg(CLV), 6) AS avg_clv FROM {positions}
-LEFT JOIN scored ON Segment = name AND ChurnProb < 0.25e0 GROUP BY i, name"""
+LEFT JOIN scored ON Segment = name GROUP BY i, name"""
     sql["revenue_at_risk_by_segment"] = S + """SELECT Segment, round(sum(PredCLV), 2) AS revenue
 FROM scored WHERE ChurnPred = 1 GROUP BY 1"""
     sql["kpi_dashboard"] = _kpi_dashboard("true")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from stayline import functions as fn
 from stayline.catalogue import (
-    CATEGORICAL, CHURN_FEATURES, CHURN_LABEL, CLV_FEATURES, CLV_LABEL, ENCODED, ID, INPUT_NAMES,
+    CATEGORICAL, CHURN_FEATURES, CHURN_LABEL, CLV_FEATURES, CLV_LABEL, ENCODED, ID, INPUT_NAMES, NUMERIC,
     RFM_FEATURES,
 )
 from stayline.operators import evaluate, explore, features, offers, quality, reports, scenarios
@@ -177,13 +177,14 @@ def sanitize_default(spark, folder):
 
 @_query
 def describe_numeric(spark, folder):
-    stats = explore.describe_numeric(_staged_view(spark, folder))
+    stats = explore.describe_numeric(_staged_view(spark, folder, *NUMERIC, CHURN_LABEL, CLV_LABEL))
     return _rounded(stats, 6, "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 @_query
 def correlation_pairs(spark, folder):
-    return _rounded(explore.correlation_pairs(_staged_view(spark, folder)), 6, "r")
+    view = _staged_view(spark, folder, *NUMERIC, CHURN_LABEL, CLV_LABEL)
+    return _rounded(explore.correlation_pairs(view), 6, "r")
 
 
 def _crosstab(spark, folder, key):
@@ -269,9 +270,8 @@ def clv_by_segment(spark, folder):
 
 @_query
 def clv_by_segment_all(spark, folder):
-    # Only rows certain to stay, so that a segment can be absent and is kept as null.
-    low = _scored(spark, folder).filter(F.col("ChurnProb") < 0.25)
-    return _rounded(seg.clv_by_segment(low, CLV_LABEL, keep_absent=True), 6, "avg_clv")
+    scored = _scored(spark, folder)
+    return _rounded(seg.clv_by_segment(scored, CLV_LABEL, keep_absent=True), 6, "avg_clv")
 
 
 @_query
@@ -512,7 +512,7 @@ def score_retention(spark, folder):
 
 @_query
 def score_requests(spark, folder):
-    asked = _view(spark, folder, *INPUT_NAMES)
+    asked = _view(spark, folder, *CHURN_INPUTS, *CLV_INPUTS, *RFM_FEATURES)
     return scoring.score_requests(asked, Scorecard()).select(*SCORE_COLUMNS)
 
 
@@ -602,7 +602,9 @@ def action_summary(spark, folder):
 
 # Models (no SQL counterpart)
 
-SMOKE = training.TrainConfig.smoke()
+#: Full sizes; pytest puts smaller ones here.
+CONFIG = training.TrainConfig()
+_trained: dict[tuple[str, str], training.Models] = {}
 
 
 def _train_rows(spark, folder, *columns: str) -> DataFrame:
@@ -612,7 +614,7 @@ def _train_rows(spark, folder, *columns: str) -> DataFrame:
 def _churn_fit(spark, folder, fit) -> DataFrame:
     rows = features.split(_train_rows(spark, folder), stratify=CHURN_LABEL)
     prepared = training.churn_features(rows, quality.learn_vocabulary(rows))
-    model = fit(rows.filter("is_train"), prepared, SMOKE)
+    model = fit(rows.filter("is_train"), prepared, CONFIG)
     return training.predict_churn(model, rows).select(
         ID, "is_train", CHURN_LABEL, "ChurnProb", "ChurnPred")
 
@@ -631,7 +633,7 @@ def train_gbt(spark, folder):
 def train_clv(spark, folder):
     rows = features.split(_train_rows(spark, folder, *CLV_FEATURES, CLV_LABEL))
     model = training.train_clv(
-        rows.filter("is_train"), features.fit_scaler(rows, CLV_FEATURES), SMOKE)
+        rows.filter("is_train"), features.fit_scaler(rows, CLV_FEATURES), CONFIG)
     return model.transform(rows).select(
         ID, "is_train", CLV_LABEL, F.col("prediction").alias("PredCLV"))
 
@@ -640,17 +642,21 @@ def train_clv(spark, folder):
 def train_kmeans(spark, folder):
     rows = _train_rows(spark, folder, *RFM_FEATURES)
     vectors = training.rfm_vectors(rows, features.fit_scaler(rows, RFM_FEATURES))
-    model, _ = training.train_kmeans(vectors, SMOKE.clusters, SMOKE.restarts, SMOKE.seed)
+    model, _ = training.train_kmeans(vectors, CONFIG.clusters, CONFIG.restarts, CONFIG.seed)
     return model.transform(vectors).select(ID, "Cluster")
 
 
 @_query
 def elbow_curve(spark, folder):
-    return training.elbow_curve(_view(spark, folder, *RFM_FEATURES), restarts=1)
+    return training.elbow_curve(_view(spark, folder, *RFM_FEATURES), restarts=CONFIG.restarts)
 
 
 def _models(spark, folder) -> training.Models:
-    return training.train(_view(spark, folder), SMOKE)
+    """The models of a folder's customers: trained once a session, shared by the queries below."""
+    key = spark.sparkContext.applicationId, folder
+    if key not in _trained:
+        _trained[key] = training.train(_view(spark, folder), CONFIG)
+    return _trained[key]
 
 
 @_query
@@ -686,9 +692,7 @@ def score_trained(spark, folder):
 @_query
 def performance_by_part(spark, folder):
     """Metrics of the selected model on the train rows, the test rows and all rows."""
-    rows = _train_rows(spark, folder)
-    models = training.train(rows, SMOKE)
-    scored = training.predict_churn(
-        models.churn_model, features.split(rows, stratify=CHURN_LABEL))
+    rows = features.split(_view(spark, folder), stratify=CHURN_LABEL)
+    scored = training.predict_churn(_models(spark, folder).churn_model, rows)
     metrics = training.performance(scored)
     return _rounded(metrics, 6, "accuracy", "precision", "recall", "f1", "auc")

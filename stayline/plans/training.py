@@ -31,7 +31,7 @@ from stayline.operators.features import (
 )
 from stayline.operators.quality import learn_vocabulary
 from stayline.operators.segments import cluster_profile, segment_map, with_segment
-from stayline.sources.staging import ensure_checkpoint_dir, stage
+from stayline.sources.staging import has_checkpoint_dir, stage
 
 
 MEMORY_AND_DISK = StorageLevel.MEMORY_AND_DISK
@@ -54,6 +54,7 @@ class TrainConfig:
     clv_rate: float = 0.05
     clusters: int = 4
     restarts: int = 10
+    max_bins: int = 256
     fraction: float = 0.8
     seed: int = 42
     parallelism: int = 4
@@ -102,25 +103,25 @@ def train_rf(train_rows: DataFrame, features: PipelineModel, config: TrainConfig
     return _fit(features, RandomForestClassifier(
         featuresCol="churn_features", labelCol=CHURN_LABEL, numTrees=config.rf_trees,
         maxDepth=config.rf_depth, minInstancesPerNode=config.rf_min_leaf,
-        featureSubsetStrategy="sqrt", seed=config.seed), train_rows)
+        featureSubsetStrategy="sqrt", maxBins=config.max_bins, seed=config.seed), train_rows)
 
 
 def train_gbt(train_rows: DataFrame, features: PipelineModel, config: TrainConfig) -> PipelineModel:
-    ensure_checkpoint_dir(train_rows.sparkSession)
+    has_checkpoint_dir(train_rows.sparkSession)
     return _fit(features, GBTClassifier(
         featuresCol="churn_features", labelCol=CHURN_LABEL, maxIter=config.gbt_rounds,
         maxDepth=config.gbt_depth, stepSize=config.gbt_rate,
         subsamplingRate=config.gbt_rows, featureSubsetStrategy=str(config.gbt_columns),
-        checkpointInterval=10, seed=config.seed), train_rows)
+        checkpointInterval=10, maxBins=config.max_bins, seed=config.seed), train_rows)
 
 
 def train_clv(train_rows: DataFrame, scaler: Scaler, config: TrainConfig) -> PipelineModel:
-    ensure_checkpoint_dir(train_rows.sparkSession)
+    has_checkpoint_dir(train_rows.sparkSession)
     features = feature_pipeline(scaler, "_v", "clv_features")
     return _fit(features, GBTRegressor(
         featuresCol="clv_features", labelCol=CLV_LABEL, maxIter=config.clv_rounds,
         maxDepth=config.clv_depth, stepSize=config.clv_rate, checkpointInterval=10,
-        seed=config.seed), train_rows)
+        maxBins=config.max_bins, seed=config.seed), train_rows)
 
 
 def rfm_features(scaler: Scaler) -> PipelineModel:
@@ -153,7 +154,7 @@ def train_kmeans(
     `vectors` should be persisted or staged: each restart makes several passes.
     """
     def fit(s: int):
-        model = KMeans(k=k, seed=s, featuresCol="rfm_features", predictionCol="Cluster").fit(vectors)
+        model = KMeans(k=k, seed=s, maxIter=300, featuresCol="rfm_features", predictionCol="Cluster").fit(vectors)
         return model, model.summary.trainingCost
 
     seeds = {str(s): partial(fit, s) for s in range(seed, seed + restarts)}

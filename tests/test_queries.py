@@ -4,9 +4,11 @@ import pytest
 from check import connect, differences
 
 import __spark_entry__ as entry
+from stayline.checks import queries
+from stayline.checks.oracle import all_sql
 
-SQL = entry.oracle_sql()
-QUERIES = entry.queries()
+SQL = all_sql()
+QUERIES = queries.all_queries()
 
 
 @pytest.fixture(scope="module")
