@@ -61,7 +61,7 @@ def write_token_files(
     os.makedirs(root, exist_ok=True)
     rows = docs.select(F.col(key).cast("long").alias("key"), text_of(text).alias("text"))
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(parts, F.col("key").asc_nulls_first(), "text") \
+    rows = rows.repartitionByRange(parts, F.col("key").asc_nulls_first()) \
         .sortWithinPartitions(F.col("key").asc_nulls_first(), "text")
     tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
     width = id_type(tokenizer, end_id)
