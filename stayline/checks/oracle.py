@@ -599,6 +599,45 @@ FROM (SELECT CAST(count(*) FILTER (WHERE ChurnRisk = 1) AS DOUBLE) AS p,
     sum(mean_rank) FILTER (WHERE ChurnRisk = 1) AS s
   FROM (SELECT ChurnRisk, rank() OVER (ORDER BY ChurnProb)
           + (count(*) OVER (PARTITION BY ChurnProb) - 1) / 2e0 AS mean_rank FROM scored))"""
+    sql["confusion_matrix_by_segment"] = S + """SELECT g.Segment, CAST(a AS BIGINT) AS actual,
+  CAST(p AS BIGINT) AS predicted, count(CustomerID) AS n, a = p AS correct
+FROM (SELECT DISTINCT Segment FROM scored) g CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) c(a, p)
+LEFT JOIN scored s ON s.Segment = g.Segment AND ChurnRisk = a AND ChurnPred = p
+GROUP BY g.Segment, a, p"""
+    sql["classification_report_by_segment"] = _with(CUSTOMERS, SCORED, """
+y AS (SELECT Segment, k, CASE WHEN k = 0 THEN 'Will Return' ELSE 'Will Churn' END AS class,
+    CAST(count(*) FILTER (WHERE ChurnRisk = k AND ChurnPred = k) AS DOUBLE) AS hit,
+    count(*) FILTER (WHERE ChurnPred = k) AS said, count(*) FILTER (WHERE ChurnRisk = k) AS s
+  FROM scored, (VALUES (0), (1)) v(k) GROUP BY Segment, k),
+f AS (SELECT *, coalesce(hit / nullif(said, 0), 0) AS p, coalesce(hit / nullif(s, 0), 0) AS rc,
+    coalesce(2 * hit / nullif(said + s, 0), 0) AS f FROM y)""") + """
+SELECT Segment, class, round(p, 6) AS precision, round(rc, 6) AS recall, round(f, 6) AS f1,
+  CAST(s AS BIGINT) AS support FROM f
+UNION ALL SELECT Segment, 'accuracy', NULL, NULL, round(sum(hit) / sum(s), 6), CAST(sum(s) AS BIGINT)
+FROM f GROUP BY Segment
+UNION ALL SELECT Segment, 'macro avg', round(avg(p), 6), round(avg(rc), 6), round(avg(f), 6),
+  CAST(sum(s) AS BIGINT) FROM f GROUP BY Segment
+UNION ALL SELECT Segment, 'weighted avg', round(sum(p * s) / sum(s), 6), round(sum(rc * s) / sum(s), 6),
+  round(sum(f * s) / sum(s), 6), CAST(sum(s) AS BIGINT) FROM f GROUP BY Segment"""
+    sql["roc_curve_by_segment"] = S + """SELECT p.Segment, threshold, tp, fp,
+  CASE WHEN pp > 0 THEN round(tp / pp, 6) END AS tpr, CASE WHEN nn > 0 THEN round(fp / nn, 6) END AS fpr
+FROM (SELECT DISTINCT Segment, ChurnProb AS threshold,
+    count(*) FILTER (WHERE ChurnRisk = 1) OVER w AS tp, count(*) FILTER (WHERE ChurnRisk = 0) OVER w AS fp
+  FROM scored WINDOW w AS (PARTITION BY Segment ORDER BY ChurnProb DESC)
+  UNION ALL SELECT DISTINCT Segment, CAST('Infinity' AS DOUBLE), 0, 0 FROM scored) p
+JOIN (SELECT Segment, CAST(sum(ChurnRisk) AS DOUBLE) AS pp, CAST(sum(1 - ChurnRisk) AS DOUBLE) AS nn
+  FROM scored GROUP BY Segment) t ON p.Segment = t.Segment"""
+
+    hashed = "md5(concat(CustomerID, '|42'))"
+    parts = _with(CUSTOMERS, f"""parts AS (SELECT CustomerID, ChurnRisk,
+  row_number() OVER (PARTITION BY ChurnRisk ORDER BY {hashed})
+    <= n - ceil(n * 0.2e0 - 1e-9) AS is_train
+  FROM (SELECT *, count(*) OVER (PARTITION BY ChurnRisk) AS n FROM cust))""")
+    sql["split_stratified"] = parts + "SELECT CustomerID, ChurnRisk, is_train FROM parts"
+    sql["split_sizes"] = parts + "SELECT ChurnRisk, is_train, count(*) AS n FROM parts GROUP BY ALL"
+    every = ", ".join(("CustomerID", *INPUT_NAMES, "ChurnRisk", "CLV"))
+    sql["split_random"] = C + f"SELECT {every}, substr({hashed}, 1, 8) < 'cccccccc' AS is_train FROM cust"
+
     sql["clv_metrics"] = S + """SELECT count(*) AS n,
   round(1e0 - sum((CLV - PredCLV) * (CLV - PredCLV)) / sum((CLV - mean) * (CLV - mean)), 6) AS r2,
   round(avg(abs(CLV - PredCLV)), 6) AS mae FROM scored, (SELECT avg(CLV) AS mean FROM cust)"""

@@ -22,7 +22,9 @@ from stayline.plans import retention, scoring, training
 from stayline.plans.scorecard import Scorecard
 from stayline.sources import exports
 from stayline.sources.staging import stage
-from stayline.sources.star import customer_view, partner_base, partner_upload, star_tables
+from stayline.sources.star import (
+    customer_view, partner_base, partner_upload, star_tables, with_view_columns,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,6 +78,11 @@ def _scored(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return scoring.score_retention(_view(spark, folder, *needed, *columns), Scorecard())
 
 
+def _late(spark: SparkSession, folder: str, listed: DataFrame, *columns: str) -> DataFrame:
+    """A top list with the view columns that its ranking doesn't read."""
+    return with_view_columns(stage(listed), star_tables(spark, folder), columns)
+
+
 def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     """Sums of doubles depend on their order; compare them rounded."""
     return df.withColumns({c: F.round(F.col(c), digits) for c in columns})
@@ -86,7 +93,8 @@ def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
 @_query
 def retention_report(spark, folder):
     report = retention.retention_report(
-        _scored(spark, folder, "Age", "Gender", "Location", "PreferredCategory"), details=True)
+        _scored(spark, folder), details=True,
+        late=lambda rows: _late(spark, folder, rows, "Age", "Gender", "Location", "PreferredCategory"))
     return report.withColumn("Offers", F.array_join("Offers", " | "))
 
 
@@ -371,8 +379,9 @@ def top10_risk(spark, folder):
 
 @_query
 def dashboard_records(spark, folder):
-    scored = _scored(spark, folder, "Gender", "Age", "Location", "PreferredCategory")
-    return reports.first_records(scored, 100, exports.DASHBOARD_COLUMNS)
+    shown = _late(spark, folder, reports.first_records(_scored(spark, folder), 100),
+                  "Gender", "Age", "Location", "PreferredCategory")
+    return reports.first_records(shown, 100, exports.DASHBOARD_COLUMNS)
 
 
 # Segments
@@ -445,6 +454,11 @@ def split_random(spark, folder):
     return features.split(_view(spark, folder))
 
 
+@_query
+def split_sizes(spark, folder):
+    return features.split_sizes(split_stratified(spark, folder), CHURN_LABEL)
+
+
 # Evaluation
 
 @_query
@@ -474,6 +488,23 @@ def roc_auc(spark, folder):
     return _rounded(evaluate.roc_auc(_predicted(spark, folder, CHURN_LABEL)), 6, "auc")
 
 
+@_query
+def confusion_matrix_by_segment(spark, folder):
+    return evaluate.confusion_matrix(_scored(spark, folder, CHURN_LABEL), by=["Segment"])
+
+
+@_query
+def classification_report_by_segment(spark, folder):
+    report = evaluate.classification_report(_scored(spark, folder, CHURN_LABEL), by=["Segment"])
+    return _rounded(report, 6, "precision", "recall", "f1")
+
+
+@_query
+def roc_curve_by_segment(spark, folder):
+    curve = evaluate.roc_curve(_scored(spark, folder, CHURN_LABEL), by=["Segment"])
+    return _rounded(curve, 6, "tpr", "fpr")
+
+
 def _valued(spark, folder):
     return Scorecard().clv(_view(spark, folder, *CLV_INPUTS, CLV_LABEL))
 

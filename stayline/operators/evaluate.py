@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,19 +36,21 @@ def classification_metrics(
         _ratio(tp * 2.0, tp * 2 + fp + fn).alias("f1"))
 
 
-def confusion_matrix(df: DataFrame, label: str = CHURN_LABEL, pred: str = "ChurnPred") -> DataFrame:
-    """(actual, predicted, n, correct): always the four cells."""
-    cells = df.agg(*_cells(label, pred))
+def confusion_matrix(
+    df: DataFrame, label: str = CHURN_LABEL, pred: str = "ChurnPred", by: Sequence[str] = ()
+) -> DataFrame:
+    """(*by, actual, predicted, n, correct): always the four cells of each group."""
+    cells = df.groupBy(*by).agg(*_cells(label, pred))
     rows = [F.struct(F.lit(a).cast("long").alias("actual"), F.lit(b).cast("long").alias("predicted"),
                      F.col(n).alias("n"), F.lit(a == b).alias("correct"))
             for n, a, b in (("tn", 0, 0), ("fp", 0, 1), ("fn", 1, 0), ("tp", 1, 1))]
-    return cells.select(F.inline(F.array(*rows)))
+    return cells.select(*by, F.inline(F.array(*rows)))
 
 
 def classification_report(
-    df: DataFrame, label: str = CHURN_LABEL, pred: str = "ChurnPred"
+    df: DataFrame, label: str = CHURN_LABEL, pred: str = "ChurnPred", by: Sequence[str] = ()
 ) -> DataFrame:
-    """(class, precision, recall, f1, support): both classes, accuracy and the averages.
+    """(*by, class, precision, recall, f1, support): both classes, accuracy and the averages.
 
     The accuracy row carries the accuracy as `f1`, as the printed report does.
     """
@@ -59,7 +63,8 @@ def classification_report(
         "f1": _ratio(tp * 2.0, tp * 2 + fp + fn), "s1": fn + tp,
         "n": n, "acc": _ratio(tn + tp, n),
     }
-    one = df.agg(*_cells(label, pred)).select(*[v.alias(k) for k, v in per.items()])
+    cells = df.groupBy(*by).agg(*_cells(label, pred))
+    one = cells.select(*by, *[v.alias(k) for k, v in per.items()])
 
     def mean(k: str, weighted: bool) -> Column:
         a, b = F.col(f"{k}0"), F.col(f"{k}1")
@@ -75,7 +80,7 @@ def classification_report(
         ("macro avg", mean("p", False), mean("r", False), mean("f", False), F.col("n")),
         ("weighted avg", mean("p", True), mean("r", True), mean("f", True), F.col("n")),
     ]
-    return one.select(F.inline(F.array(*[
+    return one.select(*by, F.inline(F.array(*[
         F.struct(F.lit(name).alias("class"), p.alias("precision"), r.alias("recall"),
                  f.alias("f1"), s.alias("support")) for name, p, r, f, s in lines])))
 
@@ -93,25 +98,34 @@ def _roc_totals(df: DataFrame, label: str, score: str, by: Sequence[str]) -> Dat
 
 
 def roc_curve(
-    df: DataFrame, label: str = CHURN_LABEL, score: str = "ChurnProb", origin: bool = True
+    df: DataFrame, label: str = CHURN_LABEL, score: str = "ChurnProb", origin: bool = True,
+    by: Sequence[str] = (),
 ) -> DataFrame:
-    """(threshold, tp, fp, tpr, fpr) at every distinct score, and the origin at +infinity.
+    """(*by, threshold, tp, fp, tpr, fpr) at every distinct score, and the origin at +infinity.
 
-    Rates are null when the table holds one class only.
+    Rates are null when the table, or the group, holds one class only.
     """
-    run = _roc_totals(df, label, score, ())
-    total = run.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).first()
-    points = run.select("threshold", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"))
+    run = _roc_totals(df, label, score, by)
+    sums = run.groupBy(*by).agg(F.sum("pos").alias("_p"), F.sum("neg").alias("_n"))
+    points = run.select(*by, "threshold", F.col("cum_pos").alias("tp"), F.col("cum_neg").alias("fp"))
+    if by:
+        # Null-safe, so that a null group keeps its points.
+        of = sums.select(*[F.col(c).alias(f"_of_{c}") for c in by], "_p", "_n")
+        same = [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]
+        points = points.join(of, reduce(and_, same)).drop(*[f"_of_{c}" for c in by])
+    else:
+        total = sums.first()
+        points = points.withColumns({c: F.lit(total[c]).cast("long") for c in ("_p", "_n")})
     if origin:
-        start = df.sparkSession.createDataFrame(
-            [(float("inf"), 0, 0)], "threshold double, tp long, fp long")
-        points = start.union(points)
+        zero = F.lit(0).cast("long")
+        points = sums.select(*by, F.lit(float("inf")).alias("threshold"), zero.alias("tp"),
+                             zero.alias("fp"), "_p", "_n").unionByName(points)
 
-    def rate(count: str, of: int | None) -> Column:
-        return F.col(count) / F.lit(float(of)) if of else F.lit(None).cast("double")
+    def rate(count: str, of: str) -> Column:
+        return F.when(F.col(of) > 0, F.col(count) / F.col(of))
 
-    return points.select("threshold", "tp", "fp", rate("tp", total["p"]).alias("tpr"),
-                         rate("fp", total["n"]).alias("fpr"))
+    return points.select(*by, "threshold", "tp", "fp", rate("tp", "_p").alias("tpr"),
+                         rate("fp", "_n").alias("fpr"))
 
 
 def roc_auc(

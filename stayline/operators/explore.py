@@ -91,24 +91,32 @@ def _bin(value: Column, low: Column, high: Column, bins: int) -> Column:
 
 def histogram(
     df: DataFrame, columns: Sequence[str], bins: int = 20, by: str | None = None,
-    classes: Sequence[object] = (0, 1), low: float | None = None, high: float | None = None,
+    classes: Sequence[object] | None = None, low: float | None = None, high: float | None = None,
 ) -> DataFrame:
     """(column, class, bin, bin_low, bin_high, n), empty bins included.
 
     Without fixed bounds each column of each class spans its own min..max, found
-    in a first pass over `df`. With `by`, the caller names the classes, so there
-    are at most len(columns) * len(classes) bounds.
+    in a first pass over `df`. With `by`, every class of the table is counted, or
+    those named; `by` is a label, so the bounds are few. Rows of a null class, null
+    values and values outside fixed bounds are not counted.
     """
     class_of = F.col(by) if by else F.lit("all")
-    names = [str(c) for c in classes] if by else ["all"]
     wide = df.select(class_of.cast("string").alias("class"),
                      *[F.col(c).cast("double").alias(c) for c in columns])
-    values = wide.filter(F.col("class").isin(names)).unpivot(
+    if by and classes is not None:
+        wide = wide.filter(F.col("class").isin([str(c) for c in classes]))
+    values = wide.filter(F.col("class").isNotNull()).unpivot(
         ["class"], list(columns), "column", "value").filter(F.col("value").isNotNull())
     if low is None or high is None:
         spans = [(r["column"], r["class"], r["lo"], r["hi"]) for r in values.groupBy(
             "column", "class").agg(F.min("value").alias("lo"), F.max("value").alias("hi")).collect()]
     else:
+        if by is None:
+            names = ["all"]
+        elif classes is not None:
+            names = [str(c) for c in classes]
+        else:
+            names = [r["class"] for r in wide.filter(F.col("class").isNotNull()).select("class").distinct().collect()]
         spans = [(c, k, float(low), float(high)) for c in columns for k in names]
         values = values.filter(F.col("value").between(low, high))
     # A constant column gets bins around its value.

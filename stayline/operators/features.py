@@ -89,17 +89,18 @@ def feature_pipeline(
     return PipelineModel(steps)
 
 
-# Order of the rows for a split: a seeded hash of the id, uniform and independent
-# of partitioning. Buckets are its top bits, ranks are settled inside one bucket.
-_BUCKET_BITS = 16
+# Order of the rows for a split: the hex MD5 of "id|seed", uniform, independent of
+# partitioning and the same in any engine. Buckets are its first digits, ranks are
+# settled inside one bucket.
+_BUCKET_DIGITS = 4
 
 
 def _hash(seed: int, key: str) -> Column:
-    return F.xxhash64(F.col(key), F.lit(seed))
+    return F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
 
 
 def _bucket(hashed: Column) -> Column:
-    return F.shiftright(hashed, 64 - _BUCKET_BITS)
+    return F.substring(hashed, 1, _BUCKET_DIGITS)
 
 
 def _cut_hashes(df: DataFrame, fraction: float, classes: Sequence[object]) -> dict:
@@ -148,8 +149,10 @@ def split(
     rows of no listed class go to the test side.
     """
     if stratify is None:
-        share = F.pmod(_hash(seed, key), F.lit(1_000_000)) < F.lit(int(fraction * 1_000_000))
-        return df.withColumn("is_train", share)
+        if fraction >= 1:
+            return df.withColumn("is_train", F.lit(True))
+        limit = f"{int(max(0.0, fraction) * (1 << 32)):08x}"
+        return df.withColumn("is_train", F.substring(_hash(seed, key), 1, 8) < F.lit(limit))
     hashed = df.filter(F.col(stratify).isin(list(classes))).select(
         F.col(stratify).cast("int").alias("_class"), _hash(seed, key).alias("_hash"))
     train = F.lit(False)

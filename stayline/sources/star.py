@@ -175,6 +175,25 @@ def customer_view(
     return df.select(*[rules[c].alias(c) for c in want], *extra)
 
 
+#: Where a table names the customer; line items are reached through their orders.
+_CUSTOMER_KEYS = {"customer": "c_custkey", "orders": "o_custkey", "events": "user_id"}
+
+
+def with_view_columns(listed: DataFrame, tables: Tables, columns: Sequence[str]) -> DataFrame:
+    """Add view columns to a short list of customers, derived for those customers alone.
+
+    The list is broadcast and read several times: stage it, and keep it a top list. A
+    customer without a prior order keeps nulls.
+    """
+    def of_listed(name: str) -> DataFrame:
+        key = _CUSTOMER_KEYS.get(name)
+        if key is None:
+            return tables(name)
+        return tables(name).join(F.broadcast(listed.select(F.col(ID).alias(key))), key, "left_semi")
+
+    return listed.join(customer_view(of_listed, (ID, *columns)), ID, "left")
+
+
 # Columns a partner system supplies; the rest of the catalogue is absent.
 PARTNER_COLUMNS = (
     ID, "Gender", "Age", "Location", "PreferredCategory", "PurchaseFrequency",

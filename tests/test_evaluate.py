@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from stayline.operators import evaluate
 
@@ -90,3 +91,22 @@ def test_regression_metrics(spark):
     row = evaluate.regression_metrics(df).first()
     assert row["r2"] == pytest.approx(1 - ((y - p) ** 2).sum() / ((y - y.mean()) ** 2).sum())
     assert row["mae"] == pytest.approx(np.abs(y - p).mean())
+
+
+def test_groups_are_evaluated_apart_null_group_included(spark):
+    rows = [("a", 1, 1, 0.9), ("a", 0, 1, 0.8), ("a", 1, 0, 0.3), ("b", 1, 1, 0.7), (None, 0, 0, 0.2)]
+    df = spark.createDataFrame(rows, "g string, ChurnRisk int, ChurnPred int, ChurnProb double")
+    cells = {(r["g"], r["actual"], r["predicted"]): r["n"]
+             for r in evaluate.confusion_matrix(df, by=["g"]).collect()}
+    assert len(cells) == 12 and cells["a", 1, 0] == 1 and cells["b", 0, 0] == 0 and cells[None, 0, 0] == 1
+    for group in ("a", "b"):
+        own = df.filter(F.col("g") == group)
+        for alone, together in (
+            (evaluate.classification_report(own), evaluate.classification_report(df, by=["g"])),
+            (evaluate.roc_curve(own), evaluate.roc_curve(df, by=["g"])),
+        ):
+            together = together.filter(F.col("g") == group).drop("g")
+            assert sorted(map(str, alone.collect())) == sorted(map(str, together.collect()))
+    nulls = evaluate.roc_curve(df, by=["g"]).filter("g IS NULL").orderBy("threshold").collect()
+    assert [(r["threshold"], r["fp"], r["tpr"], r["fpr"]) for r in nulls] == [
+        (0.2, 1, None, 1.0), (float("inf"), 0, None, 0.0)]

@@ -101,3 +101,11 @@ def test_crosstab_options_and_median(spark):
     shown = {r["feature"]: r["display_name"]
              for r in explore.feature_display_names(names).collect()}
     assert shown == {"TotalSpent": "Total Spent", "Other": "Other"}
+
+
+def test_histogram_counts_every_class(spark):
+    df = spark.createDataFrame([(0, 1.0), (1, 2.0), (2, 3.0), (2, 4.0), (None, 5.0)], "c int, x double")
+    totals = explore.histogram(df, ["x"], by="c").groupBy("class").sum("n").collect()
+    assert {r["class"]: r["sum(n)"] for r in totals} == {"0": 1, "1": 1, "2": 2}
+    named = explore.histogram(df, ["x"], by="c", classes=(1, 2), low=0.0, high=10.0)
+    assert {r["class"] for r in named.collect()} == {"1", "2"}

@@ -19,7 +19,7 @@ def duck(folder):
 def test_every_sql_names_a_query():
     assert set(SQL) <= set(QUERIES)
     without = set(QUERIES) - set(SQL)
-    assert all(n.startswith(("train_", "split_", "model_", "score_trained", "elbow", "feature_imp",
+    assert all(n.startswith(("train_", "model_", "score_trained", "elbow", "feature_imp",
                              "performance")) for n in without)
 
 
@@ -58,3 +58,10 @@ def test_order_filter_reaches_the_scan(spark, folder):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+@pytest.mark.parametrize("name", ["retention_report", "dashboard_records"])
+def test_late_columns_read_only_the_listed_customers(spark, folder, name):
+    plan = QUERIES[name](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "p_type" in plan
+    assert "LeftSemi, (o_custkey" in plan and "LeftSemi, (c_custkey" in plan
