@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stayline.catalogue import CHURN_LABEL, FEATURE_NAMES
-from stayline.operators.order_stats import distribution, exact_quantiles, quantile_columns
+from stayline.operators.order_stats import exact_quantiles, quantiles_of
 from stayline.operators.quality import null_counts, numeric_columns
 
 # Columns whose distributions are compared between the classes.
@@ -26,26 +26,19 @@ QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 def describe_numeric(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """count, mean, sample std, min, quartiles, max per numeric column; all exact.
 
-    One pass over `df` yields the distinct values with their counts; every
-    statistic is then computed from those.
+    One pass gives everything but the quartiles, which read `df` again.
     """
     columns = list(columns or numeric_columns(df))
-    run = distribution(df, columns)
-    weight, value = F.col("n").cast("double"), F.col("value")
-    basic = run.groupBy("column").agg(
-        F.sum("n").alias("count"),
-        (F.sum(value * weight) / F.sum(weight)).alias("mean"),
-        F.min(value).alias("min"), F.max(value).alias("max"))
-    # One row per column of the schema, so the broadcast is bounded.
-    spread = run.join(F.broadcast(basic), "column").groupBy("column").agg(
-        F.sum(weight * (value - F.col("mean")) * (value - F.col("mean"))).alias("squares"),
-        *quantile_columns("value", "cum_n", "count", QUARTILES))
-    listing = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
-    stats = listing.join(basic, "column", "left").join(spread, "column", "left")
-    std = F.when(F.col("count") > 1, F.sqrt(F.col("squares") / (F.col("count") - 1)))
-    return stats.select(
-        "column", F.coalesce("count", F.lit(0)).cast("long").alias("count"), "mean",
-        std.alias("std"), "min", *QUARTILES, "max")
+    parts = {"count": F.count, "mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max}
+    row = df.agg(*[
+        f(F.col(c).cast("double")).alias(f"{name}_{i}")
+        for i, c in enumerate(columns) for name, f in parts.items()]).first()
+    basic = {c: {name: row[f"{name}_{i}"] for name in parts} for i, c in enumerate(columns)}
+    middle = quantiles_of(df, {c: (b["count"], b["min"], b["max"]) for c, b in basic.items()}, QUARTILES)
+    names = ("count", "mean", "std", "min", *QUARTILES, "max")
+    return df.sparkSession.createDataFrame(
+        [(c, *[{**basic[c], **middle[c]}[name] for name in names]) for c in columns],
+        "column string, count long, " + ", ".join(f"{name} double" for name in names[1:]))
 
 
 def crosstab(df: DataFrame, key: str, label: str = CHURN_LABEL) -> DataFrame:
@@ -97,8 +90,9 @@ def histogram(
 
     Without fixed bounds each column of each class spans its own min..max, found
     in a first pass over `df`. With `by`, every class of the table is counted, or
-    those named; `by` is a label, so the bounds are few. Rows of a null class, null
-    values and values outside fixed bounds are not counted.
+    those named; `by` is a label, so the bounds are few. Rows of a null class and null
+    values are not counted. Values outside fixed bounds are counted in bin -1 (no lower end)
+    or bin `bins` (no upper end); these rows exist only where there are such values.
     """
     class_of = F.col(by) if by else F.lit("all")
     wide = df.select(class_of.cast("string").alias("class"),
@@ -118,20 +112,23 @@ def histogram(
         else:
             names = [r["class"] for r in wide.filter(F.col("class").isNotNull()).select("class").distinct().collect()]
         spans = [(c, k, float(low), float(high)) for c in columns for k in names]
-        values = values.filter(F.col("value").between(low, high))
     # A constant column gets bins around its value.
     spans = [(c, k, lo - 0.5, hi + 0.5) if lo == hi else (c, k, lo, hi) for c, k, lo, hi in spans]
     bounds = df.sparkSession.createDataFrame(
         spans, "column string, class string, lo double, hi double")
+    place = (F.when(F.col("value") < F.col("lo"), F.lit(-1))
+             .when(F.col("value") > F.col("hi"), F.lit(bins))
+             .otherwise(_bin(F.col("value"), F.col("lo"), F.col("hi"), bins)))
     counts = values.join(F.broadcast(bounds), ["column", "class"]).groupBy(
-        "column", "class", _bin(F.col("value"), F.col("lo"), F.col("hi"), bins).alias("bin")
-    ).agg(F.count(F.lit(1)).alias("n"))
-    slots = bounds.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
+        "column", "class", place.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    slots = bounds.withColumn("bin", F.explode(F.sequence(F.lit(-1), F.lit(bins))))
     step = (F.col("hi") - F.col("lo")) / F.lit(float(bins))
-    return slots.join(F.broadcast(counts), ["column", "class", "bin"], "left").select(
+    inside = F.col("bin").between(0, bins - 1)
+    return slots.join(F.broadcast(counts), ["column", "class", "bin"], "left").filter(
+        inside | F.col("n").isNotNull()).select(
         "column", "class", F.col("bin").cast("long").alias("bin"),
-        (F.col("lo") + F.col("bin") * step).alias("bin_low"),
-        (F.col("lo") + (F.col("bin") + 1) * step).alias("bin_high"),
+        F.when(F.col("bin") >= 0, F.col("lo") + F.col("bin") * step).alias("bin_low"),
+        F.when(F.col("bin") < bins, F.col("lo") + (F.col("bin") + 1) * step).alias("bin_high"),
         F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 

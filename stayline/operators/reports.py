@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from stayline.catalogue import ID
 from stayline.functions import churn_status
-from stayline.operators.order_stats import quantile_columns, running_totals
+from stayline.operators.order_stats import quantiles_of
+from stayline.sources.staging import stage
 
 ALL = "All"
 
@@ -101,32 +102,27 @@ def kpi_retention(
 ) -> DataFrame:
     """Headline numbers of the whole at-risk set, whatever the list filters are.
 
-    High-value customers reach the set's own CLV quantile. The exact quantile
-    comes from range-partitioned running counts over the distinct CLVs, from
-    which the other figures are summed too, so the scored table is read once.
-    `exact=False` uses a bounded quantile sketch instead.
+    High-value customers reach the set's own CLV quantile. The two columns it reads of the
+    at-risk rows are staged, since the quantile takes a few passes. `exact=False` uses a
+    bounded quantile sketch instead.
     """
-    risky = at_risk(df)
-    by_value = risky.groupBy("PredCLV").agg(
-        F.count(F.lit(1)).alias("n"), F.count("PredCLV").alias("valued"),
-        F.count_if(F.col("ChurnProb") >= F.lit(float(critical))).alias("critical"),
-        F.sum("ChurnProb").alias("prob"))
+    risky = stage(at_risk(df).select("ChurnProb", "PredCLV"))
+    clv = F.col("PredCLV").cast("double")
+    row = risky.agg(
+        F.count(clv).alias("n"), F.min(clv).alias("low"), F.max(clv).alias("high"),
+        *([] if exact else [F.percentile_approx(clv, high_value_q, accuracy).alias("q")])).first()
     if exact:
-        by_value = running_totals(by_value, "PredCLV", ["valued"])
-        size = by_value.agg(F.sum("valued")).first()[0]
-        limit = by_value.withColumn("size", F.lit(size)).agg(
-            *quantile_columns("PredCLV", "cum_valued", "size", {"q": high_value_q})).first()["q"]
+        limit = quantiles_of(
+            risky, {"PredCLV": (row["n"], row["low"], row["high"])}, {"q": high_value_q})["PredCLV"]["q"]
     else:
-        limit = risky.agg(
-            F.percentile_approx("PredCLV", high_value_q, accuracy).alias("q")).first()["q"]
-    total = F.sum("n")
-    high = F.coalesce(F.sum(F.when(F.col("PredCLV") >= F.lit(limit), F.col("n"))), F.lit(0))
-    return by_value.agg(
-        F.coalesce(total, F.lit(0)).alias("at_risk"),
-        F.coalesce(F.sum("critical"), F.lit(0)).alias("critical"),
-        high.cast("long").alias("high_value"),
-        F.coalesce(F.sum(F.col("PredCLV") * F.col("n")), F.lit(0.0)).alias("revenue_at_risk"),
-        (F.sum("prob") / total * 100.0).alias("avg_prob"))
+        limit = row["q"]
+    high = F.count_if(F.col("PredCLV") >= F.lit(limit).cast("double"))
+    return risky.agg(
+        F.count(F.lit(1)).alias("at_risk"),
+        F.count_if(F.col("ChurnProb") >= F.lit(float(critical))).alias("critical"),
+        high.alias("high_value"),
+        F.coalesce(F.sum("PredCLV"), F.lit(0.0)).alias("revenue_at_risk"),
+        (F.avg("ChurnProb") * 100.0).alias("avg_prob"))
 
 
 def availability_flags(df: DataFrame) -> DataFrame:

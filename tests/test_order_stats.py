@@ -46,6 +46,34 @@ def test_quantiles_with_a_dominant_value(spark, many_ranges):
             assert got[c][name] == pytest.approx(frame[c].quantile(p), abs=1e-12)
 
 
+@pytest.mark.parametrize("kind", ["outlier", "dominant", "two", "ties"])
+def test_quantiles_narrow_their_brackets(spark, kind):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=4000)
+    if kind == "outlier":
+        x[:2] = 1e300, -1e300
+    elif kind == "dominant":
+        x[:3000] = 0.25
+    elif kind == "two":
+        x = rng.integers(0, 2, 4000).astype(float)
+    else:
+        x = rng.integers(0, 300, 4000).astype(float)
+    frame = pd.DataFrame({"x": x, "y": -x})
+    probs = {"a": 0.0, "b": 0.25, "c": 0.4999, "d": 0.75, "e": 1.0}
+    got = {r["column"]: r for r in order_stats.exact_quantiles(
+        spark.createDataFrame(frame), ["x", "y"], probs, at_once=10).collect()}
+    for c in frame:
+        for name, p in probs.items():
+            assert got[c][name] == pytest.approx(frame[c].quantile(p), abs=1e-12)
+
+
+def test_quantiles_where_the_sketch_is_coarse(spark):
+    frame = pd.DataFrame({"x": np.random.default_rng(5).normal(size=5000)})
+    found = order_stats.quantiles_of(
+        spark.createDataFrame(frame), {"x": (5000, frame.x.min(), frame.x.max())}, {"q": 0.6}, accuracy=7, at_once=50)
+    assert found["x"]["q"] == pytest.approx(frame.x.quantile(0.6), abs=1e-12)
+
+
 def test_describe_matches_pandas(spark):
     frame = pd.DataFrame({"x": [1.0, 2.0, 3.0, 10.0, None], "k": [5.0] * 5, "none": [None] * 5})
     frame["none"] = frame["none"].astype(float)
@@ -74,8 +102,9 @@ def test_histogram_matches_numpy(spark):
             assert np.allclose(part["bin_low"], edges[:-1])
     fixed = explore.histogram(spark.createDataFrame(frame), ["x"], low=0.0, high=1.0).toPandas()
     inside = frame.x[(frame.x >= 0) & (frame.x <= 1)]
-    assert fixed.sort_values("bin")["n"].tolist() == np.histogram(
-        inside, bins=20, range=(0, 1))[0].tolist()
+    fixed = fixed.set_index("bin")["n"].sort_index()
+    assert fixed.loc[0:19].tolist() == np.histogram(inside, bins=20, range=(0, 1))[0].tolist()
+    assert (fixed[-1], fixed[20]) == ((frame.x < 0).sum(), (frame.x > 1).sum())
 
 
 def test_correlation_with_nulls_uses_known_pairs(spark):
