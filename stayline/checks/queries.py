@@ -64,7 +64,7 @@ def _upload_and_card(spark: SparkSession, folder: str) -> tuple[DataFrame, Score
     Both come from one derivation of the customers.
     """
     base = stage(partner_base(star_tables(spark, folder)))
-    return partner_upload(base), Scorecard(quality.learn_vocabulary(base))
+    return partner_upload(base), Scorecard(stage(quality.label_table(base)))
 
 
 def _predicted(spark: SparkSession, folder: str, *columns: str) -> DataFrame:

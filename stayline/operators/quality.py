@@ -14,6 +14,9 @@ from stayline.catalogue import (
 
 Vocabulary = Mapping[str, Sequence[str]]
 
+#: Label tables of a column up to this size are sent to every task; larger ones are joined by shuffle.
+BROADCAST_BYTES = 8 << 20
+
 
 def fill_missing_columns(df: DataFrame) -> tuple[DataFrame, list[str]]:
     """Add every absent catalogue column as its constant default."""
@@ -40,20 +43,23 @@ def apply_null_policy(df: DataFrame, null_rows: str = "fail") -> DataFrame:
     return df.filter(F.when(first.isNotNull(), broken).otherwise(F.lit(True)))
 
 
+def label_table(df: DataFrame, columns: Sequence[str] = CATEGORICAL) -> DataFrame:
+    """(column, label): the distinct labels of each column, however many there are."""
+    wide = df.select([F.col(c).cast("string").alias(c) for c in columns])
+    return (wide.unpivot([], list(columns), "column", "label")
+            .filter(F.col("label").isNotNull()).distinct())
+
+
 def learn_vocabulary(
     df: DataFrame, columns: Sequence[str] = CATEGORICAL, max_labels: int = 10_000
 ) -> dict[str, list[str]]:
     """Sorted distinct labels per categorical column.
 
     The labels become part of every fitted model, so they must fit the driver: a
-    column with more than `max_labels` labels is refused, not truncated.
+    column with more than `max_labels` labels is refused, not truncated. Cleaning
+    takes a `label_table` instead, which has no bound.
     """
-    wide = df.select([F.col(c).cast("string").alias(c) for c in columns])
-    labels = (
-        wide.unpivot([], list(columns), "column", "label")
-        .filter(F.col("label").isNotNull()).distinct()
-        .limit(max_labels * len(columns) + 1).collect()
-    )
+    labels = label_table(df, columns).limit(max_labels * len(columns) + 1).collect()
     vocabulary: dict[str, list[str]] = {c: [] for c in columns}
     for row in labels:
         vocabulary[row["column"]].append(row["label"])
@@ -72,16 +78,40 @@ def fallback_label(labels: Sequence[str], column: str, unknown: str) -> str:
     return default if unknown == "default" and default in labels else labels[0]
 
 
-def sanitize_categories(df: DataFrame, vocabulary: Vocabulary, unknown: str = "first") -> DataFrame:
-    """Replace null and unknown labels by the fallback label."""
-    fixed = {}
-    for name, labels in vocabulary.items():
-        if name not in df.columns or not labels:
+def sanitize_categories(
+    df: DataFrame, vocabulary: Vocabulary | DataFrame, unknown: str = "first"
+) -> DataFrame:
+    """Replace null and unknown labels by the fallback label.
+
+    The vocabulary is a `label_table`, or lists that are made into one: a left join a
+    column at every size. `first` of a table is its smallest label.
+    """
+    if isinstance(vocabulary, DataFrame):
+        table, given = vocabulary, {}
+    else:
+        given = {c: labels for c, labels in vocabulary.items() if c in df.columns and labels}
+        if not given:
+            return df
+        table = df.sparkSession.createDataFrame(
+            [(c, label) for c, labels in given.items() for label in dict.fromkeys(labels)],
+            "column string, label string")
+    # A row for each column.
+    defaults = [str(DEFAULT_OF[c]) for c in CATEGORICAL]
+    found = table.groupBy("column").agg(
+        F.min("label").alias("first"),
+        F.collect_set(F.when(F.col("label").isin(defaults), F.col("label"))).alias("defaults"),
+        F.sum(F.octet_length("label") + F.lit(64)).alias("bytes")).collect()
+    for row in found:
+        name = row["column"]
+        if name not in df.columns:
             continue
-        value = F.col(name).cast("string")
-        fixed[name] = F.when(value.isin(list(labels)), value).otherwise(
-            F.lit(fallback_label(labels, name, unknown)))
-    return df.withColumns(fixed) if fixed else df
+        fallback = fallback_label(given.get(name, [row["first"], *row["defaults"]]), name, unknown)
+        known = table.filter(F.col("column") == name).select(F.col("label").alias("_known"))
+        if row["bytes"] <= BROADCAST_BYTES:
+            known = F.broadcast(known)
+        df = df.join(known, F.col(name).cast("string") == F.col("_known"), "left").withColumn(
+            name, F.coalesce("_known", F.lit(fallback))).drop("_known")
+    return df
 
 
 def null_counts(df: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ UNITS = ((235.0, 210.0), (1.75, 0.6), (38000.0, 16000.0), (2.55, 0.86), (50000.0
 
 @dataclass(frozen=True)
 class Scorecard:
-    vocabulary: Vocabulary = field(default_factory=dict)
+    vocabulary: Vocabulary | DataFrame = field(default_factory=dict)
     inputs: tuple[str, ...] = (
         "LastPurchaseDaysAgo", "CustomerSatisfaction", "CartAbandonRate", "ComplaintHistory",
         "PurchaseFrequency", "TotalSpent", "AvgOrderValue",

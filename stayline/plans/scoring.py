@@ -21,7 +21,7 @@ from stayline.operators.quality import (
 
 
 class Scorer(Protocol):
-    vocabulary: Vocabulary
+    vocabulary: Vocabulary | DataFrame
     inputs: tuple[str, ...]
 
     def churn(self, df: DataFrame) -> DataFrame: ...

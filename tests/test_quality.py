@@ -54,6 +54,20 @@ def test_vocabulary_is_sorted_and_bounded(spark):
         quality.learn_vocabulary(df, ["Gender"], max_labels=1)
 
 
+@pytest.mark.parametrize("most", [0, quality.BROADCAST_BYTES])
+def test_a_table_of_many_labels(spark, monkeypatch, most):
+    monkeypatch.setattr(quality, "BROADCAST_BYTES", most)
+    seen = spark.range(20_000).select(F.format_string("city %05d", "id").alias("Location"))
+    words = quality.label_table(seen.unionAll(seen), ["Location"])
+    df = spark.range(19_990, 20_010).select(
+        "id", F.when(F.col("id") % 5 > 0, F.format_string("city %05d", "id")).alias("Location"))
+    got = {r["id"]: r["Location"] for r in quality.sanitize_categories(df, words).collect()}
+    assert got == {i: f"city {i:05d}" if i % 5 and i < 20_000 else "city 00000" for i in range(19_990, 20_010)}
+    usage = quality.label_table(frame(spark, [("High",), ("Medium",)], "AppUsage string"), ["AppUsage"])
+    odd = frame(spark, [(None,)], "AppUsage string")
+    assert [quality.sanitize_categories(odd, usage, m).first()[0] for m in ("first", "default")] == ["High", "Medium"]
+
+
 def test_schema_report_and_completeness(spark):
     df = frame(spark, [(1, 5, None, 0.5), (2, None, None, 0.5)],
                "CustomerID long, Age int, Location string, Shoe double")
