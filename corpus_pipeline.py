@@ -32,8 +32,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Null ids are kept only where a group has no other.
     """
     importable(spark)
-    rows = docs.withColumn("_stay_row", F.monotonically_increasing_id())  # a table scan gives the same each time
-    # Numbers rows by id, so that exactly one row of a group stays whatever the ids are.
+    # Rows are numbered, so that exactly one row of a group stays whatever the ids are; the numbers are
+    # stored, since another job may split a scan in another way.
+    rows = kept(docs.withColumn("_stay_row", F.monotonically_increasing_id()))
     found = simhash.near_duplicates(rows.select(F.col("_stay_row"), "text"), key="_stay_row")
     groups = rows.select("_stay_row", "doc_id").join(found.select(F.col("doc_id").alias("_stay_row"), "component_id"), "_stay_row")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "_stay_row"))

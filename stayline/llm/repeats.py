@@ -241,7 +241,7 @@ def repeated_spans(
     """From rows (rid, text) with unique rids, and the same as (rid, zip): rid and `spans`, its array
     of (start, end) to remove.
 
-    Both must give the same rows each time they are evaluated, as a table scan does.
+    Both are evaluated more than once, so the rids must be stored, not made by the plan.
     """
     found = kept(rows.mapInArrow(
         lambda b: _segment_rows(b, window),
@@ -296,19 +296,21 @@ def remove_repeats(
 
     Bytes covered by a `window`-byte string that also starts elsewhere, in the same text or another,
     are removed. A null text is empty; texts shorter than the window stay whole; a repeated row
-    repeats its text; an empty table gives an empty one. `docs` must give the same rows each
-    time, as a table scan does. A column of `docs` that is named like `into` is replaced.
+    repeats its text; an empty table gives an empty one. `docs` is evaluated once: its rows are
+    numbered and stored, and every later pass reads the stored numbers. A column of `docs` that is
+    named like `into` is replaced.
     """
     if window < GRAM:
         raise ValueError(f"windows have {GRAM} bytes at least")
-    rid = F.monotonically_increasing_id().alias("_stay_rid")
     own = [c for c in docs.columns if c not in (into, text)]
+    # Another job may split a scan in another way, which numbers its rows anew.
+    plain = kept(docs.select(
+        F.monotonically_increasing_id().alias("_stay_rid"), F.col(text).cast("string").alias("_stay_zip"), *own))
     # Texts are shuffled compressed.
-    plain = docs.select(rid, F.col(text).cast("string").alias("_stay_zip"), *own)
     kinds = StructType([StructField("_stay_rid", LongType()), StructField("_stay_zip", BinaryType()), *plain.schema.fields[2:]])
     zipped = plain.mapInArrow(lambda b: _zipped(b, 1), kinds)
     spans = repeated_spans(
-        docs.select(rid, text_of(text).alias("text")).withColumnRenamed("_stay_rid", "rid"),
+        plain.select(F.col("_stay_rid").alias("rid"), text_of("_stay_zip").alias("text")),
         zipped.select(F.col("_stay_rid").alias("rid"), F.col("_stay_zip").alias("zip")), window, most_in_group)
     joined = zipped.join(spans.select(F.col("rid").alias("_stay_rid"), F.col("spans").alias("_stay_spans")), "_stay_rid", "left") \
         .select("_stay_zip", "_stay_spans", *own)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stayline.llm import language, minhash, neighbours, queries, repeats, simhash, url_filter
+from stayline.llm import common, language, minhash, neighbours, queries, repeats, simhash, url_filter
 
 
 def brute_cover(texts, window):
@@ -47,6 +47,50 @@ def test_repeats_with_short_windows_on_random_texts(spark, tmp_path):
         i: np.frombuffer(t.encode(), np.uint8)[~c].tobytes() for i, (t, c) in enumerate(zip(texts, cover, strict=True))}
 
 
+@pytest.fixture()
+def moving_scans(spark, monkeypatch):
+    """Scans are split in another way after the first kept table, as where the number of cores changes."""
+    key = "spark.sql.leafNodeDefaultParallelism"
+
+    def moved(df):
+        out = common.kept(df)
+        spark.conf.set(key, "1")
+        return out
+
+    spark.conf.set(key, "12")
+    for module in (repeats, simhash, corpus_pipeline):
+        monkeypatch.setattr(module, "kept", moved)
+    yield
+    spark.conf.unset(key)
+
+
+@pytest.fixture()
+def scattered(spark, tmp_path):
+    """Twelve small files; documents 3k to 3k + 2 share a passage, and 3k + 1 is a copy of 3k."""
+    texts = []
+    for k in range(8):
+        passage = " ".join(f"p{k}x{i}" for i in range(90))
+        texts += [f"{k} one {passage} end", f"{k} one {passage} end",
+                  " ".join(f"other{k}y{i}" for i in range(150 + 20 * k)) + passage]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(12) \
+        .write.parquet(str(tmp_path / "t"))
+    return spark.read.parquet(str(tmp_path / "t")), texts
+
+
+def test_repeats_where_scans_change_between_jobs(scattered, moving_scans):
+    docs, texts = scattered
+    rows = repeats.remove_repeats(docs, into="f").select("doc_id", "f.kept").collect()
+    cover = brute_cover([t.encode() for t in texts], 400)
+    assert {r.doc_id: bytes(r.kept) for r in rows} == {
+        i: np.frombuffer(t.encode(), np.uint8)[~c].tobytes() for i, (t, c) in enumerate(zip(texts, cover, strict=True))}
+
+
+def test_near_duplicates_where_scans_change_between_jobs(spark, scattered, moving_scans):
+    docs, texts = scattered
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == [(i, t) for i, t in enumerate(texts) if i % 3 != 1]
+
+
 def test_repeats_of_an_empty_table(empty):
     assert repeats.remove_repeats(empty).count() == 0
 
