@@ -7,9 +7,10 @@ Statistics are frozen after training, so a text's code length in a language is a
 bytes of a number that depends on the last `order` bytes and the byte. The language with the
 shortest code wins; the score is its share of 2^-length.
 
-Training is bounded: at most `most_docs` documents a language (the smallest text hashes) and
-the `most_grams` most frequent context-symbol strings over all languages. Spark counts them;
-the kept counts, and nothing else, come to the driver and are broadcast.
+Training is bounded by documents alone: at most `most_docs` a language (the smallest text hashes).
+Every context-symbol string in them counts, and every label is a language. Spark counts the
+strings; the counts, and nothing else, come to the driver and are broadcast. Languages are
+independent of each other and are laid out in blocks, so a model's size goes with its strings.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _BLOCK = 1 << 19
+_LANGS = 16
 
 
 def gram_codes(data: np.ndarray, size: int) -> np.ndarray:
@@ -71,7 +73,7 @@ class Lookup:
 
 
 @dataclass
-class LanguageModel:
+class LanguageBlock:
     """For each gram size, the costs (bits) of known grams and of escaping from known contexts."""
 
     names: list[str]
@@ -80,7 +82,7 @@ class LanguageModel:
     escapes: list[tuple[Lookup, np.ndarray]]  # by context length
 
     @classmethod
-    def build(cls, names: list[str], order: int, counts: pd.DataFrame) -> LanguageModel:
+    def build(cls, names: list[str], order: int, counts: pd.DataFrame) -> LanguageBlock:
         """counts: size, code, lang (an index into names), n."""
         model = cls(names, order, [], [])
         for size in range(1, order + 2):
@@ -124,6 +126,26 @@ class LanguageModel:
         out[todo] += 8
         return out
 
+
+@dataclass
+class LanguageModel:
+    """All languages, in blocks of `_LANGS`."""
+
+    names: list[str]
+    order: int
+    blocks: list[LanguageBlock]
+
+    @classmethod
+    def build(cls, names: list[str], order: int, counts: pd.DataFrame) -> LanguageModel:
+        """counts: size, code, lang (an index into names), n."""
+        model = cls(names, order, [])
+        block = counts["lang"].to_numpy(int) // _LANGS
+        for first in range(0, len(names), _LANGS):
+            own = counts[block == first // _LANGS]
+            model.blocks.append(LanguageBlock.build(
+                names[first:first + _LANGS], order, own.assign(lang=own["lang"] - first)))
+        return model
+
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each text in each language; whole texts, worked through in blocks."""
         pad = b"\n" * self.order
@@ -143,9 +165,10 @@ class LanguageModel:
             if not len(who):
                 continue
             first, last = int(who[0]), int(who[-1])
-            bits = self.bits(codes, self.order + 1)
-            for k in range(len(self.names)):
-                out[first:last + 1, k] += np.bincount(who - first, bits[:, k], last - first + 1)
+            for at, block in zip(range(0, len(self.names), _LANGS), self.blocks, strict=True):
+                bits = block.bits(codes, self.order + 1)
+                for k in range(len(block.names)):
+                    out[first:last + 1, at + k] += np.bincount(who - first, bits[:, k], last - first + 1)
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -180,7 +203,7 @@ def _count_grams(order: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
 def fit(
     labelled: DataFrame, text: str = "text", lang: str = "lang", order: int = 4,
-    most_docs: int = 400, most_grams: int = 1_000_000, most_langs: int = 200,
+    most_docs: int = 400,
 ) -> LanguageModel:
     """Learn from the rows that have a text and a language; without any, everything is `und`."""
     rows = labelled.filter(F.col(text).isNotNull() & F.col(lang).isNotNull()) \
@@ -192,17 +215,16 @@ def fit(
     first = rows.select("lang", mark).distinct() \
         .withColumn("at", F.row_number().over(salted)).filter(F.col("at") <= most_docs) \
         .withColumn("at", F.row_number().over(overall)).filter(F.col("at") <= most_docs).select("lang", "mark")
-    # At most most_docs * most_langs pairs of a label and a hash.
-    chosen = first.orderBy("lang", "mark").limit(most_docs * most_langs)
-    sample = rows.withColumn("mark", F.xxhash64("text")).join(F.broadcast(chosen), ["lang", "mark"], "left_semi")
+    # most_docs pairs of a label and a hash for each language: fewer than the strings that the driver takes.
+    sample = rows.withColumn("mark", F.xxhash64("text")).join(F.broadcast(first), ["lang", "mark"], "left_semi")
     sample = sample.dropDuplicates(["lang", "mark"]).select("lang", "text")
     counts = sample.mapInArrow(_count_grams(order), "lang string, size long, code long, n long") \
         .groupBy("lang", "size", "code").agg(F.sum("n").alias("n"))
-    top = counts.orderBy(F.desc("n"), "size", "lang", "code").limit(most_grams).toArrow()
-    names = sorted(pc.unique(top["lang"]).to_pylist())
-    at = pc.index_in(top["lang"], pa.array(names, pa.string()))
+    found = counts.toArrow()
+    names = sorted(pc.unique(found["lang"]).to_pylist())
+    at = pc.index_in(found["lang"], pa.array(names, pa.string()))
     return LanguageModel.build(names, order, pd.DataFrame(
-        {"lang": at.to_numpy(), **{c: top[c].to_numpy() for c in ("size", "code", "n")}}))
+        {"lang": at.to_numpy(), **{c: found[c].to_numpy() for c in ("size", "code", "n")}}))
 
 
 def predictor(docs: DataFrame, model: LanguageModel) -> Callable[[Column], Column]:

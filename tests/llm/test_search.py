@@ -163,6 +163,26 @@ def test_language_learns_and_scores(spark, folder, odd, empty):
     assert {r.lang_pred for r in language.identify(odd, nothing).collect()} == {"und"}
 
 
+def test_language_keeps_every_label(spark):
+    langs = [f"l{i:03}" for i in range(230)]  # a text of its own letters for each
+    texts = [" ".join(chr(0x4E00 + 40 * i + j % 40) * (1 + j % 3) for j in range(60)) for i in range(230)]
+    docs = spark.createDataFrame(list(zip(langs, texts, strict=True)), "lang string, text string").repartition(8)
+    model = language.fit(docs, most_docs=1)
+    assert model.names == langs
+    assert model.predict(texts)[0] == langs and model.predict([None, "12"])[0] == ["und", "und"]
+
+
+def test_language_keeps_every_string_of_a_small_language(spark):
+    pick = np.random.default_rng(3)
+    rows = [("aa", "".join(map(chr, pick.integers(97, 123, 3000)))) for _ in range(400)]  # over 1,000,000 strings
+    small = " ".join(f"zebra{i} żółć{i}" for i in range(30))
+    docs = spark.createDataFrame([*rows, ("zz", small)], "lang string, text string").repartition(4)
+    both, alone = language.fit(docs), language.fit(docs.filter("lang = 'zz'"))
+    assert both.names == ["aa", "zz"]
+    got, want = both.code_lengths([small.encode()])[0, 1], alone.code_lengths([small.encode()])[0, 0]
+    assert got == pytest.approx(want, rel=1e-4)
+
+
 def test_code_lengths_equal_the_definition():
     import pandas as pd
 
