@@ -22,6 +22,8 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Drop documents without a recognisable language (null texts and texts without a letter)."""
     importable(spark)
     model = language.fit(docs.filter(~F.coalesce(held_out(), F.lit(False))))
+    if not model.names:  # no labelled text to learn from: only what no model could tell goes
+        return docs.filter(language.lettered()(F.col("text")))
     found = language.predictor(docs, model)(F.col("text"))
     return docs.withColumn("_stay_found", found).filter(F.col("_stay_found.lang_pred") != language.UNKNOWN).drop("_stay_found")
 

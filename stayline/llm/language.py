@@ -33,6 +33,10 @@ _BLOCK = 1 << 19
 _LANGS = 16
 
 
+def has_letter(text: str | None) -> bool:
+    return text is not None and bool(_LETTER.search(text))
+
+
 def gram_codes(data: np.ndarray, size: int) -> np.ndarray:
     """The `size`-byte strings that end at each position from size - 1 on, with a leading 1 byte."""
     n = len(data) - size + 1
@@ -172,7 +176,7 @@ class LanguageModel:
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        known = np.array([bool(self.names) and t is not None and bool(_LETTER.search(t)) for t in texts], bool)
+        known = np.array([bool(self.names) and has_letter(t) for t in texts], bool)
         langs, scores = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
         rows = np.flatnonzero(known)
         if len(rows):
@@ -241,6 +245,16 @@ def predictor(docs: DataFrame, model: LanguageModel) -> Callable[[Column], Colum
     return predict
 
 
+def lettered() -> Callable[[Column], Column]:
+    """A column function: whether a text has a letter, by the predictor's own rule."""
+
+    @F.pandas_udf("boolean")
+    def found(texts: pd.Series) -> pd.Series:
+        return pd.Series([has_letter(t) for t in texts.tolist()], dtype=bool)
+
+    return found
+
+
 def identify(docs: DataFrame, model: LanguageModel, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: key, lang_pred and score (0 to 1).
 

@@ -312,6 +312,13 @@ def test_pipeline_stages(spark, odd, folder):
     assert sum(r.length for r in corpus_pipeline.run(spark, folder).collect()) > 0
 
 
+def test_pipeline_keeps_texts_where_no_language_is_known(odd, spark, folder):
+    bare = odd.withColumn("lang", F.lit(None).cast("string"))
+    docs = corpus_pipeline.keep_known_language(spark, bare, folder)
+    assert docs.columns == odd.columns
+    assert sorted(r.doc_id for r in docs.select("doc_id").collect()) == [3, 4, 5, 6, 7, 8, 8, 11]
+
+
 def test_every_corpus_query_is_registered():
     import __spark_entry__ as entry
 
