@@ -11,8 +11,8 @@ sequential scratch file. From the last column to the first, each round inserts o
 segment: the suffix order of the column is the stable order by (group, symbol) of the one
 before, and the common prefix of two neighbours is one more than the least common prefix between
 them in the old order, or nothing if their symbols differ. The column's symbols in suffix order
-are its Burrows-Wheeler column; since equal windows begin in the same column, the columns need no
-merging. A window repeats where the common prefix with a neighbour reaches 400.
+would be its Burrows-Wheeler column; they are dropped after the round, and order and common
+prefixes stay in memory: no transform is kept. A window repeats where the common prefix with a neighbour reaches 400.
 
 A minimizer with more than `most_in_group` distinct segments is not gathered: its windows are counted
 one by one by 128-bit hash, which is exact for the same reason that segment hashes are.
