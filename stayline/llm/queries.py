@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stayline.llm import bpe, language, minhash, neighbours, packing, repeats, simhash, token_counts, token_files, url_filter
+from stayline.llm import (
+    bpe, collocations, fill_middle, language, minhash, neighbours, packing, quality, repeats, simhash, token_counts,
+    token_files, url_filter)
 from stayline.llm.common import shared_folder, table
 
 BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
@@ -21,8 +23,10 @@ URL_RULES = (
 )
 
 
-def held_out() -> Column:
-    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+def held_out(folds: int = 4, fold: int = 2) -> Column:
+    """Whether a row is kept from learning; a null doc_id is in no fold."""
+    mark = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(folds))
+    return F.coalesce(mark == fold, F.lit(False))
 
 
 def op1_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -45,7 +49,7 @@ def op3_repeats(spark: SparkSession, folder: str) -> DataFrame:
 
 def op4_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    model = language.fit(docs.filter(~F.coalesce(held_out(), F.lit(False))))
+    model = language.fit(docs.filter(~held_out()))
     found = language.predictor(docs, model)(F.col("text"))
     return docs.select("doc_id", held_out().alias("held_out"), found.alias("found")) \
         .select("doc_id", "held_out", "found.lang_pred", "found.score")
@@ -84,6 +88,26 @@ def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
         "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents"))
+
+
+def op12_quality(spark: SparkSession, folder: str) -> DataFrame:
+    out = held_out(3, 1)
+    found = quality.classify(table(spark, folder, "documents"), table(spark, folder, "labels"), ~out)
+    return found.select("doc_id", (~F.col("learned")).alias("held_out"), "score",
+                        (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op13_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    made = fill_middle.fill_in_middle(table(spark, folder, "documents"))
+    whole = fill_middle.restored(F.col("output"), F.col("form"))
+    return made.select(
+        "doc_id", "n", "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"),
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(whole.cast("binary"), 256).alias("restored_sha256"))
+
+
 _OP8_SQL = """
 WITH cut AS (
   SELECT page_id, coalesce(url, '') AS url, strpos(coalesce(url, ''), '://') AS pos FROM pages
@@ -107,10 +131,77 @@ SELECT page_id, host, path, rule,
 FROM judged
 """
 
+_OP11_SQL = r"""
+WITH docs AS (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS doc,
+    regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                          '[.,;:!?\x0A-\x0D]') AS pieces
+  FROM documents
+), pieces AS (
+  SELECT lang, [w for w in regexp_split_to_array(piece, '[ \t]+') if w <> ''] AS words
+  FROM (SELECT lang, unnest(pieces) AS piece FROM docs)
+), totals AS (
+  SELECT lang, sum(len(words))::BIGINT AS n FROM pieces GROUP BY lang
+), starts AS (
+  SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM pieces
+), grams AS (
+  SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase
+  FROM starts, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE i + k - 1 <= len(words)
+), counts AS (
+  SELECT lang, k, phrase, count(*)::BIGINT AS a FROM grams GROUP BY ALL HAVING count(*) >= 100
+), cand AS (
+  SELECT lang, k, phrase, a, string_split(phrase, ' ') AS words FROM counts WHERE k >= 2
+), inside AS (
+  SELECT DISTINCT c.lang, array_to_string(c.words[i:i + m - 1], ' ') AS phrase, max(c.a) AS around
+  FROM cand c, (SELECT unnest([1, 2, 3, 4]) AS i), (SELECT unnest([2, 3, 4]) AS m)
+  WHERE m < c.k AND i + m - 1 <= c.k GROUP BY ALL
+), free AS (
+  SELECT c.* FROM cand c LEFT JOIN inside b ON b.lang = c.lang AND b.phrase = c.phrase
+  WHERE b.around IS NULL OR 100 * b.around < 100 * c.a
+), cuts AS (
+  SELECT f.lang, f.phrase, f.a, cut, array_to_string(words[1:cut], ' ') AS head, array_to_string(words[cut + 1:k], ' ') AS tail
+  FROM free f, (SELECT unnest([1, 2, 3, 4]) AS cut) WHERE cut < f.k
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, c.cut, x.a AS l, y.a AS r, t.n,
+    ((1000::HUGEINT * c.a * t.n) // (x.a::HUGEINT * y.a))::BIGINT AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = c.head
+  JOIN counts y ON y.lang = c.lang AND y.phrase = c.tail JOIN totals t ON t.lang = c.lang
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) AS pick FROM scored
+), ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+  FROM best WHERE pick = 1
+)
+SELECT * FROM ranked WHERE rank <= 2000
+"""
+
+_OP13_SQL = """
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h
+  FROM documents
+), marks AS (
+  SELECT doc_id, text, n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+    ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM drawn
+), cut AS (
+  SELECT doc_id, text, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90
+      THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM marks
+), parts AS (
+  SELECT *, substring(text, 1, a) AS p, substring(text, a + 1, b - a) AS m, substring(text, b + 1, n - b) AS s FROM cut
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+         ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM parts
+"""
+
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_packing, op2_bpe, op3_repeats, op4_language, op5_simhash, op6_neighbours,
-        op7_token_files, op8_urls, op9_token_counts, op10_fingerprints)
+        op7_token_files, op8_urls, op9_token_counts, op10_fingerprints, op11_collocations, op12_quality,
+        op13_fill_middle)
 }
 
 
@@ -119,4 +210,4 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def all_sql() -> dict[str, str]:
-    return {"op8_urls": _OP8_SQL}
+    return {"op8_urls": _OP8_SQL, "op11_collocations": _OP11_SQL, "op13_fill_middle": _OP13_SQL}

@@ -323,4 +323,4 @@ def test_every_corpus_query_is_registered():
     import __spark_entry__ as entry
 
     names = {n.split("_")[0] for n in entry.queries() if n.startswith("op")}
-    assert names == {f"op{i}" for i in range(1, 11)} and "pipeline" in entry.queries()
+    assert names == {f"op{i}" for i in range(1, 14)} and "pipeline" in entry.queries()
