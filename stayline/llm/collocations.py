@@ -44,30 +44,41 @@ COUNTS = "phrase binary, n long, began int"
 
 
 def token_slices(text: str | None) -> Iterator[list[bytes]]:
-    """A text's lower-cased words in order, `\\n` between pieces, a slice of the text at a time."""
+    """A text's lower-cased words in order, `\\n` between pieces, a slice of the text at a time; empty
+    strings among them mean nothing."""
     raw = (text or "").encode().lower().translate(_TABLE)
     at = 0
     while at < len(raw):
         end = _CUT.search(raw, at + _SLICE - 1)
         upto = end.end() if end else len(raw)
-        yield [w for w in raw[at:upto].replace(b"\n", b" \n ").split(b" ") if w]
+        yield raw[at:upto].replace(b"\n", b" \n ").split(b" ")
         at = upto
 
 
-class WordNumbers:
+class WordNumbers(dict):
     """64-bit numbers of the words of a language; 0 is the break. A bounded table keeps those met before."""
 
+    SKIP = 1  # the number of an empty string; no word has it
+
     def __init__(self, lang: str):
+        super().__init__()
         self.head = lang.encode() + b"\0"
-        self.known: dict[bytes, int] = {b"\n": 0}
 
-    def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > _MOST_KNOWN:
-            self.known = known = {b"\n": 0}
-        for word in set(words).difference(known):
-            known[word] = xxhash.xxh3_64_intdigest(self.head + word) or 1
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    def __missing__(self, word: bytes) -> int:
+        if word == b"\n":
+            number = 0
+        elif not word:
+            number = self.SKIP
+        else:
+            number = max(xxhash.xxh3_64_intdigest(self.head + word), self.SKIP + 1)
+        self[word] = number
+        return number
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        if len(self) > _MOST_KNOWN:
+            self.clear()
+        found = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+        return found[found != self.SKIP]
 
 
 def mixed(phrase: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -100,16 +111,14 @@ def open_counts(
     if scan < shards:
         own, n = np.unique(words[real & starts], return_counts=True)
         yield own[:, None], n, np.zeros(len(own), np.int32)
-    # Stamp and hash of the phrase of the last length that starts at a position.
-    stamps, marks = np.where(real, stamped(filter_, words), np.uint8(UNSET)), words
-    at = np.arange(len(words))  # starts of phrases of the last length whose stamps are set
+    stamps = np.where(real, stamped(filter_, words), np.uint8(UNSET))
+    both = np.maximum(stamps[:-1], stamps[1:])
+    at = np.flatnonzero(both != UNSET)  # starts of phrases whose two subphrases have reached the threshold
+    both, marks = both[at], words[at]
     for size in range(2, longest + 1):
-        at = at[(stamps[at] != UNSET) & (at + size <= len(words))]
-        at = at[stamps[np.minimum(at + 1, len(words) - 1)] != UNSET]
         if not len(at):
             return
-        both = np.maximum(stamps[at], stamps[at + 1])
-        longer = mixed(marks[at], words[at + size - 1])
+        longer = mixed(marks, words[at + size - 1])
         began = both.astype(np.int32) + 1
         active = (began > scan - shards) & (began <= scan) & starts[at]
         if active.any():
@@ -117,9 +126,10 @@ def open_counts(
             where = at[active][first]
             yield words[where[:, None] + np.arange(size)], n, began[active][first]
         if size < longest:
-            marks, stamps = np.zeros(len(words), np.uint64), np.full(len(words), UNSET, np.uint8)
             # Not before its subphrases, whatever other phrases have set its slots.
-            marks[at], stamps[at] = longer, np.maximum(stamped(filter_, longer), both)
+            stamps = np.maximum(stamped(filter_, longer), both)
+            next_ = np.flatnonzero((at[1:] == at[:-1] + 1) & (stamps[:-1] != UNSET) & (stamps[1:] != UNSET))
+            marks, both, at = longer[next_], np.maximum(stamps[next_], stamps[next_ + 1]), at[next_]
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -143,7 +153,7 @@ def _word_rows(batches: Iterator[pa.RecordBatch], shards: int, longest: int) ->
                 numbers[lang] = WordNumbers(lang)
             held = np.zeros(0, np.uint64)
             for tokens in token_slices(text):
-                held = np.concatenate([held, numbers[lang](tokens)])
+                held = np.concatenate([held, numbers[lang].numbers(tokens)])
                 while len(held) > _ROW + longest:
                     out.append((made % shards, lang, _ROW, held[:_ROW + longest - 1]))
                     held, made = held[_ROW:], made + 1
@@ -216,9 +226,8 @@ def _new_slots(reached: DataFrame, bits: int) -> np.ndarray:
 
 def phrase_counts(
     docs: DataFrame, lang: str, text: str, least: int, longest: int, shards: int, filter_bits: int,
-) -> tuple[DataFrame, DataFrame, np.ndarray]:
-    """Tables (phrase, n) of every word and phrase with n >= `least`, (lang, n) of all words, and the
-    last stamp filter. A phrase is the little-endian 64-bit numbers of its words."""
+) -> tuple[DataFrame, DataFrame]:
+    """Tables (phrase, n) of every word and phrase with n >= `least`, and (lang, n) of all words. A phrase is the little-endian 64-bit numbers of its words."""
     spark = docs.sparkSession
     place = shared_folder(spark)
     schema = "lang string, size long, owned long, words binary, shard int"
@@ -258,24 +267,34 @@ def phrase_counts(
     found = whole[0]
     for more in whole[1:]:
         found = found.unionByName(more)
-    return kept(found.hint("rebalance")), totals, filter_
+    return kept(found.hint("rebalance")), totals
 
 
-def _dictionary(docs: DataFrame, lang: str, text: str, filter_: np.ndarray) -> DataFrame:
-    """(mark, lang, word) of the words that the filter knows; mark is the word's number as binary."""
-    shared = docs.sparkSession.sparkContext.broadcast(filter_)
+def _dictionary(docs: DataFrame, lang: str, text: str, phrases: DataFrame, bits: int) -> DataFrame:
+    """(mark, lang, word) of the words of some phrases, and of few others; mark is a word's number as binary.
+
+    What the tasks look for is a filter of a fixed size again; each sends a word once.
+    """
+    each = F.explode(F.transform(F.sequence(F.lit(1), F.col("size")), lambda k: F.substring("phrase", 8 * k - 7, F.lit(8))))
+    wanted = np.full(1 << bits, UNSET, np.uint8)
+    wanted[_new_slots(phrases.select(each.alias("phrase")).distinct(), bits)] = 0
+    shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: dict[str, set[bytes]] = {}
         for batch in batches:
             by_lang: dict[str, set[bytes]] = {}
             for own, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for tokens in token_slices(value):
                     by_lang.setdefault(own, set()).update(tokens)
             for own, distinct in by_lang.items():
-                distinct.discard(b"\n")
-                words = sorted(distinct)
-                numbers = WordNumbers(own)(words)
+                before = sent.setdefault(own, set())
+                words = sorted(distinct - before - {b"", b"\n"})
+                numbers = WordNumbers(own).numbers(words)
                 known = np.flatnonzero(stamped(shared.value, numbers) != UNSET)
+                if sum(map(len, sent.values())) > _MOST_KNOWN:
+                    sent, before = {own: set()}, set()
+                sent[own] = before | {words[i] for i in known.tolist()}
                 yield pa.RecordBatch.from_arrays([
                     _binary(numbers[known][:, None]), pa.array([own] * len(known), pa.string()),
                     pa.array([words[i].decode() for i in known.tolist()], pa.string())], names=["mark", "lang", "word"])
@@ -292,7 +311,7 @@ def _part(first: Column | int, size: Column | None = None) -> Column:
 
 def collocations(
     docs: DataFrame, text: str = "text", lang: str = "lang", least: int = 100, longest: int = 5, top: int = 2000,
-    absorb_percent: int = 100, shards: int = 4, filter_bits: int = 24, unknown: str = "und",
+    absorb_percent: int = 100, shards: int = 3, filter_bits: int = 24, unknown: str = "und",
 ) -> DataFrame:
     """Per language the `top` phrases: lang, rank, phrase, a, l, r, n, score.
 
@@ -309,7 +328,7 @@ def collocations(
         raise ValueError("at least 1 occurrence, 2 words and 1 shard, and fewer scans than stamps")
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(unknown)).alias("lang"),
                        F.col(text).cast("string").alias("text"))
-    found, totals, filter_ = phrase_counts(rows, "lang", "text", least, longest, shards, filter_bits)
+    found, totals = phrase_counts(rows, "lang", "text", least, longest, shards, filter_bits)
     size = (F.length("phrase") / 8).cast("int")
     phrases = found.filter(F.length("phrase") > 8).select("phrase", F.col("n").alias("a"), size.alias("size"))
     # A longer phrase is at most as frequent as the phrases between, so one more word is enough to look at.
@@ -322,7 +341,7 @@ def collocations(
         .withColumn("head", _part(0, F.col("cut"))).withColumn("tail", _part(F.col("cut")))
     cuts = cuts.join(found.select(F.col("phrase").alias("head"), F.col("n").alias("l")), "head") \
         .join(found.select(F.col("phrase").alias("tail"), F.col("n").alias("r")), "tail")
-    spelled = _dictionary(rows, "lang", "text", filter_)
+    spelled = _dictionary(rows, "lang", "text", left, filter_bits)
     place = F.posexplode(F.transform(F.sequence(F.lit(1), F.col("size")), lambda k: F.substring("phrase", 8 * k - 7, F.lit(8))))
     words = left.select("phrase", place.alias("at", "mark")).join(spelled, "mark").groupBy("phrase").agg(
         F.min("lang").alias("lang"),
