@@ -13,11 +13,16 @@ import re
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 _BEFORE_SPACE = re.compile(r"(?= \S)")
+_STOPS = ".,;:!?"
 _SPACE_RUN = re.compile(r" (?:\s|$)")
 #: A long unit is encoded anew each time; with the entry limit this bounds the table's memory.
 LONGEST_KEPT, MOST_KEPT = 64, 1_000_000
+#: Characters that are split at a time.
+LONGEST_ROW = 1 << 23
 
 
 def units(text: str) -> list[str]:
@@ -30,7 +35,13 @@ def units(text: str) -> list[str]:
 
 
 class UnitEncoder:
-    """Encodes texts to little-endian unsigned 32-bit ids, as the tokenizers library does."""
+    """Encodes texts to little-endian unsigned 32-bit ids, as the tokenizers library does.
+
+    In a text where no space is followed by white space, the units after the first are the words between
+    its spaces, each with a space before it; `known` has the ids of such a unit under its word. Arrow splits
+    many texts at a time and numbers their distinct words, so that Python looks at each of those once.
+    Other texts, and those with a special string, are looked at unit by unit.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -42,46 +53,119 @@ class UnitEncoder:
         self.spaced = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         for token, at in self.tokenizer.get_vocab().items():
             self.spaced[at] = token.startswith("\u0120")  # how byte-level vocabularies write a space
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
+        self.stops: dict[str, bytes] = {}
+
+    def _alone(self, unit: str) -> bytes:
+        return np.array(self.tokenizer.encode(unit, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, unknown: list[str]) -> dict[str, bytes]:
-        """Ids of units, many to a call.
+    def _learned(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words with a space before them, some to a call.
 
-        A unit with one space, at its head, has one token that begins with a space, its first;
-        those are run together and their ids cut before such tokens.
+        Stops behind a letter are a token run of their own, so such a word has the ids of the word without
+        them and those of the stops. The other units have one token that begins with a space, their first;
+        they are run together and their ids cut before such tokens.
         """
-        run, found = [], {}
-        for unit in unknown:
-            if unit.rfind(" ") == 0 and len(unit) > 1 and not unit[1].isspace() and self.mark not in unit:
-                run.append(unit)
-            else:
-                ids = self.tokenizer.encode(unit, add_special_tokens=False).ids
-                found[unit] = np.array(ids, "<u4").tobytes()
-        for start in range(0, len(run), 4096):
-            part = run[start:start + 4096]
-            coded = self.tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)
-            ids = np.array(coded[0].ids, "<u4")
+        bare = {w: w.rstrip(_STOPS) for w in words}
+        bare = {w: b if b and b[-1].isalpha() else w for w, b in bare.items()}
+        todo = list({b for b in bare.values() if b not in self.known})
+        found: dict[str, bytes] = {}
+        for start in range(0, len(todo), 64):
+            part = todo[start:start + 64]
+            ids = np.array(self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False).ids, "<u4")
             cuts = (4 * np.append(np.flatnonzero(self.spaced[ids]), len(ids))).tolist()
             raw = ids.tobytes()
-            found.update((u, raw[x:y]) for u, x, y in zip(part, cuts[:-1], cuts[1:], strict=True))
+            found.update(zip(part, (raw[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)), strict=True))
+        for word, own in bare.items():
+            if own is not word:
+                head = self.known[own] if own in self.known else found[own]
+                found[word] = head + self._stops(word[len(own):])
         return found
 
+    def _stops(self, run: str) -> bytes:
+        ids = self.stops.get(run)
+        if ids is None:
+            ids = self._alone(run)
+            if len(self.stops) < 10_000 and len(run) <= LONGEST_KEPT:
+                self.stops[run] = ids
+        return ids
+
+    def _ids_of(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words with a space before them, none for an empty one; the table keeps the words
+        of the last call at least."""
+        ids = list(map(self.known.get, words))
+        new = [i for i, own in enumerate(ids) if own is None]
+        found = self._learned([words[i] for i in new])
+        if len(self.known) + len(new) > MOST_KEPT:
+            self.known = {w: own for w, own in zip(words, ids, strict=True) if own is not None} | {"": b""}
+        for i in new:
+            ids[i] = found[words[i]]
+        self.known.update(found if max(map(len, found), default=0) <= LONGEST_KEPT else {
+            w: own for w, own in found.items() if len(w) <= LONGEST_KEPT})
+        return ids
+
+    def _odd(self, text: str) -> bytes:
+        """A text in which units are not all a space and a word."""
+        split = units(text)
+        plain = [u.rfind(" ") == 0 and len(u) > 1 and not u[1].isspace() and self.mark not in u for u in split]
+        words = list({u[1:] for u, p in zip(split, plain, strict=True) if p})
+        ids = dict(zip(words, self._ids_of(words), strict=True))
+        return b"".join([ids[u[1:]] if p else self._alone(u) for u, p in zip(split, plain, strict=True)])
+
+    def _rows(self, rows: list[str], begins: list[bool]) -> list[bytes]:
+        """Plain texts, or parts of them behind a space; `begins` marks the beginnings of texts."""
+        split = pc.split_pattern(pa.array(rows, pa.large_string()), " ")
+        coded = split.flatten().dictionary_encode()
+        words, of = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        offsets = split.offsets.to_numpy()
+        heads = offsets[:-1][begins]
+        spaced = np.ones(len(of), bool)
+        spaced[heads] = False
+        first_words = {int(w): words[w] for w in of[heads].tolist()}
+        for at in np.flatnonzero(np.bincount(of[spaced], minlength=len(words)) == 0).tolist():
+            words[at] = ""  # no unit with a space
+        ids = self._ids_of(words)
+        alone: dict[int, int] = {}
+        for word, text in first_words.items():  # a first word has no space before it
+            alone[word] = len(ids)
+            ids.append(self._alone(text) if text else b"")
+        of[heads] = [alone[w] for w in of[heads].tolist()]
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        first = np.cumsum(size) - size
+        own, ends = size[of], np.append(0, np.cumsum(size[of]))
+        out = flat[np.repeat(first[of] - ends[:-1], own) + np.arange(ends[-1])]
+        cuts = ends[offsets].tolist()
+        return [out[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        out = []
-        for start in range(0, len(texts), 64):  # so that long texts are not all in units at once
-            split = [units(t) for t in texts[start:start + 64]]
-            unknown = {u for x in split for u in x if u not in self.known}
-            if len(self.known) + len(unknown) > MOST_KEPT:
-                self.known.clear()
-                unknown = {u for x in split for u in x}
-            new = self._learn(list(unknown))
-            self.known.update((u, i) for u, i in new.items() if len(u) <= LONGEST_KEPT)
-            if any(len(u) > LONGEST_KEPT for u in unknown):
-                get = {**{u: i for u, i in new.items() if len(u) > LONGEST_KEPT}}
-                out += [b"".join(get[u] if u in get else self.known[u] for u in x) for x in split]
-            else:
-                out += [b"".join(map(self.known.__getitem__, x)) for x in split]
-        return out
+        out: list[list[bytes]] = [[] for _ in texts]
+        rows, begins, owner, size = [], [], [], 0
+
+        def flush() -> None:
+            for at, ids in zip(owner, self._rows(rows, begins), strict=True):
+                out[at].append(ids)
+            rows.clear(), begins.clear(), owner.clear()
+
+        for at, text in enumerate(texts):
+            if self.mark in text or _SPACE_RUN.search(text):
+                out[at].append(self._odd(text))
+                continue
+            start = 0
+            while start < len(text):  # a long text goes in parts, cut at spaces
+                space = text.find(" ", start + LONGEST_ROW)
+                end = len(text) if space < 0 else space
+                rows.append(text[start:end])
+                begins.append(start == 0)
+                owner.append(at)
+                size += end - start
+                start = end + 1
+                if size >= LONGEST_ROW:
+                    flush()
+                    size = 0
+        if rows:
+            flush()
+        return [ids[0] if len(ids) == 1 else b"".join(ids) for ids in out]
 
 
 @lru_cache(maxsize=2)
