@@ -238,7 +238,7 @@ def distinct_options(spark, folder):
 @_query
 def feature_display_names(spark, folder):
     view = _staged_view(spark, folder)
-    encoded = features.encode(view, features.fit_encoders(view))
+    encoded = features.encode(view, features.label_codes(view))
     return explore.feature_coverage(encoded.select(*CHURN_FEATURES, CHURN_LABEL))
 
 
@@ -411,14 +411,13 @@ def segment_map(spark, folder):
 @_query
 def encode_categories(spark, folder):
     view = _staged_view(spark, folder, *CATEGORICAL)
-    encoded = features.encode(view, features.fit_encoders(view))
+    encoded = features.encode(view, features.label_codes(view))
     return encoded.select(ID, *[F.col(c).cast("long").alias(c) for c in ENCODED.values()])
 
 
 @_query
 def encoder_classes(spark, folder):
-    view = _view(spark, folder, *CATEGORICAL)
-    return features.encoder_classes(view, features.fit_encoders(view))
+    return features.label_codes(_view(spark, folder, *CATEGORICAL)).select("column", "code", "label")
 
 
 def _scaled(spark, folder, columns: Sequence[str]) -> DataFrame:
@@ -429,7 +428,7 @@ def _scaled(spark, folder, columns: Sequence[str]) -> DataFrame:
 @_query
 def scale_churn(spark, folder):
     view = _staged_view(spark, folder)
-    encoded = features.encode(view, features.fit_encoders(view))
+    encoded = features.encode(view, features.label_codes(view))
     scaled = features.scale(encoded, features.fit_scaler(encoded, CHURN_FEATURES), keep=[ID])
     return _rounded(scaled, 6, *CHURN_FEATURES)
 
@@ -643,9 +642,9 @@ def _train_rows(spark, folder, *columns: str) -> DataFrame:
 
 
 def _churn_fit(spark, folder, fit) -> DataFrame:
-    rows = features.split(_train_rows(spark, folder), stratify=CHURN_LABEL)
-    prepared = training.churn_features(rows, quality.learn_vocabulary(rows))
-    model = fit(rows.filter("is_train"), prepared, CONFIG)
+    rows, _ = training.encoded_rows(_view(spark, folder))
+    rows = features.split(rows, stratify=CHURN_LABEL)
+    model = fit(rows.filter("is_train"), training.churn_features(rows), CONFIG)
     return training.predict_churn(model, rows).select(
         ID, "is_train", CHURN_LABEL, "ChurnProb", "ChurnPred")
 
@@ -672,7 +671,7 @@ def train_clv(spark, folder):
 @_query
 def train_kmeans(spark, folder):
     rows = _train_rows(spark, folder, *RFM_FEATURES)
-    vectors = training.rfm_vectors(rows, features.fit_scaler(rows, RFM_FEATURES))
+    vectors = stage(training.rfm_vectors(rows, features.fit_scaler(rows, RFM_FEATURES)))
     model, _ = training.train_kmeans(vectors, CONFIG.clusters, CONFIG.restarts, CONFIG.seed)
     return model.transform(vectors).select(ID, "Cluster")
 
@@ -724,6 +723,6 @@ def score_trained(spark, folder):
 def performance_by_part(spark, folder):
     """Metrics of the selected model on the train rows, the test rows and all rows."""
     rows = features.split(_view(spark, folder), stratify=CHURN_LABEL)
-    scored = training.predict_churn(_models(spark, folder).churn_model, rows)
+    scored = _models(spark, folder).churn(rows)
     metrics = training.performance(scored)
     return _rounded(metrics, 6, "accuracy", "precision", "recall", "f1", "auc")

@@ -6,36 +6,50 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.feature import SQLTransformer, StringIndexerModel, VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stayline.catalogue import ENCODED, ID
-from stayline.operators.quality import Vocabulary, learn_vocabulary
+from stayline.operators.order_stats import running_totals
+from stayline.operators.quality import Vocabulary, joined_labels, label_table
+from stayline.sources.staging import stage
 
 
-def encoders_for(vocabulary: Vocabulary) -> PipelineModel:
-    """Codes 0..n-1 in alphabetical label order; an unknown label is an error."""
-    return PipelineModel([
-        StringIndexerModel.from_labels(
-            list(vocabulary[c]), inputCol=c, outputCol=ENCODED[c], handleInvalid="error")
-        for c in ENCODED if c in vocabulary])
+CODES = "column string, label string, code long"
 
 
-def fit_encoders(df: DataFrame) -> PipelineModel:
-    return encoders_for(learn_vocabulary(df))
+def codes_for(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
+    """(column, label, code) of short lists of labels: codes 0..n-1 in the lists' order."""
+    rows = [(c, label, code) for c, labels in vocabulary.items() for code, label in enumerate(labels)]
+    return spark.createDataFrame(rows, CODES)
 
 
-def encode(df: DataFrame, encoders: PipelineModel) -> DataFrame:
-    return encoders.transform(df)
+def label_codes(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """(column, label, code): codes 0..n-1 in alphabetical label order, for any number of labels.
+
+    A distributed dense rank: distinct labels are ranged by (column, label) and each range starts from
+    the sum of those before it. The table is staged; nothing of it is listed on the driver.
+    """
+    named = [c for c in ENCODED if c in df.columns] if columns is None else list(columns)
+    labels = label_table(df, named).withColumn("one", F.lit(1).cast("long"))
+    ranked = running_totals(labels, "label", ["one"], by=["column"])
+    return stage(ranked.select("column", "label", (F.col("cum_one") - 1).alias("code")))
 
 
-def encoder_classes(df: DataFrame, encoders: PipelineModel) -> DataFrame:
-    """(column, code, label) learned by the encoders."""
-    rows = [(e.getInputCol(), code, label)
-            for e in encoders.stages for code, label in enumerate(e.labels)]
-    return df.sparkSession.createDataFrame(rows, "column string, code long, label string")
+def encode(df: DataFrame, codes: DataFrame) -> DataFrame:
+    """Add the code of each encoded column; a null or unknown label is an error.
+
+    A column's codes are joined in: sent to every task up to a measured size, by shuffle beyond it.
+    """
+    for name, known in joined_labels(codes, [c for c in ENCODED if c in df.columns]):
+        unknown = F.raise_error(F.concat(F.lit(f"unknown label in {name}: "), F.coalesce(F.col(name).cast("string"), F.lit("null"))))
+        df = df.join(known.select(F.col("label").alias("_known"), F.col("code").alias("_code")),
+                     F.col(name).cast("string") == F.col("_known"), "left") \
+            .withColumn(ENCODED[name], F.coalesce(F.col("_code").cast("double"), unknown.cast("double"))) \
+            .drop("_known", "_code")
+    return df
 
 
 @dataclass(frozen=True)
@@ -80,13 +94,9 @@ def assemble(df: DataFrame, columns: Sequence[str], out: str = "features") -> Da
     return assembler(columns, out).transform(df)
 
 
-def feature_pipeline(
-    scaler: Scaler, suffix: str, out: str, encoders: PipelineModel | None = None
-) -> PipelineModel:
-    """Encode (if needed), scale and assemble, as one fitted pipeline."""
-    steps = list(encoders.stages) if encoders is not None else []
-    steps += [scaler.stage(suffix), assembler([c + suffix for c in scaler.mean], out)]
-    return PipelineModel(steps)
+def feature_pipeline(scaler: Scaler, suffix: str, out: str) -> PipelineModel:
+    """Scale and assemble, as one fitted pipeline."""
+    return PipelineModel([scaler.stage(suffix), assembler([c + suffix for c in scaler.mean], out)])
 
 
 # Order of the rows for a split: the hex MD5 of "id|seed", uniform, independent of

@@ -50,24 +50,20 @@ def label_table(df: DataFrame, columns: Sequence[str] = CATEGORICAL) -> DataFram
             .filter(F.col("label").isNotNull()).distinct())
 
 
-def learn_vocabulary(
-    df: DataFrame, columns: Sequence[str] = CATEGORICAL, max_labels: int = 10_000
-) -> dict[str, list[str]]:
-    """Sorted distinct labels per categorical column.
-
-    The labels become part of every fitted model, so they must fit the driver: a
-    column with more than `max_labels` labels is refused, not truncated. Cleaning
-    takes a `label_table` instead, which has no bound.
+def joined_labels(table: DataFrame, columns: Sequence[str]) -> list[tuple[str, DataFrame]]:
+    """For each column that has labels, its rows of a label table, one a label, ready to be joined in.
+
+    They are broadcast where their summed size is at most BROADCAST_BYTES.
     """
-    labels = label_table(df, columns).limit(max_labels * len(columns) + 1).collect()
-    vocabulary: dict[str, list[str]] = {c: [] for c in columns}
-    for row in labels:
-        vocabulary[row["column"]].append(row["label"])
-    for name, found in vocabulary.items():
-        if len(found) > max_labels:
-            raise ValueError(f"{name} has over {max_labels} labels; it is not a category")
-        found.sort()
-    return vocabulary
+    size = F.sum(F.octet_length("label") + F.lit(64))
+    sizes = {r["column"]: r["bytes"] for r in
+             table.filter(F.col("column").isin(list(columns))).groupBy("column").agg(size.alias("bytes")).collect()}
+    found = []
+    for name in columns:
+        if name in sizes:
+            known = table.filter(F.col("column") == name).drop("column").dropDuplicates(["label"])
+            found.append((name, F.broadcast(known) if sizes[name] <= BROADCAST_BYTES else known))
+    return found
 
 
 def fallback_label(labels: Sequence[str], column: str, unknown: str) -> str:
@@ -99,16 +95,11 @@ def sanitize_categories(
     defaults = [str(DEFAULT_OF[c]) for c in CATEGORICAL]
     found = table.groupBy("column").agg(
         F.min("label").alias("first"),
-        F.collect_set(F.when(F.col("label").isin(defaults), F.col("label"))).alias("defaults"),
-        F.sum(F.octet_length("label") + F.lit(64)).alias("bytes")).collect()
-    for row in found:
-        name = row["column"]
-        if name not in df.columns:
-            continue
-        fallback = fallback_label(given.get(name, [row["first"], *row["defaults"]]), name, unknown)
-        known = table.filter(F.col("column") == name).select(F.col("label").alias("_known"))
-        if row["bytes"] <= BROADCAST_BYTES:
-            known = F.broadcast(known)
+        F.collect_set(F.when(F.col("label").isin(defaults), F.col("label"))).alias("defaults")).collect()
+    labels = {r["column"]: [r["first"], *r["defaults"]] for r in found}
+    for name, known in joined_labels(table, [c for c in labels if c in df.columns]):
+        fallback = fallback_label(given.get(name, labels[name]), name, unknown)
+        known = known.select(F.col("label").alias("_known"))
         df = df.join(known, F.col(name).cast("string") == F.col("_known"), "left").withColumn(
             name, F.coalesce("_known", F.lit(fallback))).drop("_known")
     return df

@@ -27,11 +27,10 @@ from stayline.catalogue import (
 from stayline.functions import churn_class
 from stayline.operators.evaluate import classification_metrics, regression_metrics, roc_auc
 from stayline.operators.features import (
-    Scaler, encoders_for, feature_pipeline, fit_scaler, split,
+    CODES, Scaler, encode, feature_pipeline, fit_scaler, label_codes, split,
 )
-from stayline.operators.quality import learn_vocabulary
 from stayline.operators.segments import cluster_profile, segment_map, with_segment
-from stayline.sources.staging import has_checkpoint_dir, stage
+from stayline.sources.staging import need_checkpoint_dir, stage
 
 
 MEMORY_AND_DISK = StorageLevel.MEMORY_AND_DISK
@@ -68,30 +67,38 @@ class TrainConfig:
 MIN_PARTS = 8
 
 
-def laid_out(df: DataFrame, rows_per_part: int = 250_000) -> DataFrame:
+def laid_out(df: DataFrame, rows_per_part: int = 250_000, staged: bool = False) -> DataFrame:
     """The training table, staged in a layout that depends on its rows only.
 
     Tree growing samples per partition, so equal data must land in equal
     partitions for equal seeds to give equal models, on any cluster: the number
     of partitions follows from the number of rows. The table is derived once; the
-    count, the layout and the many passes of the fits read what was staged.
+    count, the layout and the many passes of the fits read what was staged. `staged` says that
+    `df` comes from a staged table row by row, so that it isn't staged again.
     """
-    derived = stage(df)
+    derived = df if staged else stage(df)
     parts = max(MIN_PARTS, -(-derived.count() // rows_per_part))
     return stage(derived.repartition(parts, ID).sortWithinPartitions(ID))
 
 
-def predict_churn(model: PipelineModel, df: DataFrame) -> DataFrame:
+def encoded_rows(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The training table with the codes of its labels, laid out; and the table of the codes."""
+    derived = stage(df)
+    codes = label_codes(derived)
+    return laid_out(encode(derived, codes), staged=True), codes
+
+
+def predict_churn(model: PipelineModel, df: DataFrame, codes: DataFrame | None = None) -> DataFrame:
+    """Add ChurnProb and ChurnPred; `codes` encodes rows that aren't encoded yet."""
     kept = list(dict.fromkeys(c for c in df.columns if c not in ("ChurnProb", "ChurnPred")))
+    rows = df if codes is None else encode(df, codes)
     prob = vector_to_array("probability")[1]
-    return model.transform(df).select(*kept, prob.alias("ChurnProb")).withColumn(
+    return model.transform(rows).select(*kept, prob.alias("ChurnProb")).withColumn(
         "ChurnPred", churn_class(F.col("ChurnProb")))
 
 
-def churn_features(df: DataFrame, vocabulary: Mapping[str, Sequence[str]]) -> PipelineModel:
-    encoders = encoders_for(vocabulary)
-    scaler = fit_scaler(encoders.transform(df), CHURN_FEATURES)
-    return feature_pipeline(scaler, "_z", "churn_features", encoders)
+def churn_features(encoded: DataFrame) -> PipelineModel:
+    return feature_pipeline(fit_scaler(encoded, CHURN_FEATURES), "_z", "churn_features")
 
 
 def _fit(features: PipelineModel, learner, train_rows: DataFrame) -> PipelineModel:
@@ -107,7 +114,7 @@ def train_rf(train_rows: DataFrame, features: PipelineModel, config: TrainConfig
 
 
 def train_gbt(train_rows: DataFrame, features: PipelineModel, config: TrainConfig) -> PipelineModel:
-    has_checkpoint_dir(train_rows.sparkSession)
+    need_checkpoint_dir(train_rows.sparkSession)
     return _fit(features, GBTClassifier(
         featuresCol="churn_features", labelCol=CHURN_LABEL, maxIter=config.gbt_rounds,
         maxDepth=config.gbt_depth, stepSize=config.gbt_rate,
@@ -116,7 +123,7 @@ def train_gbt(train_rows: DataFrame, features: PipelineModel, config: TrainConfi
 
 
 def train_clv(train_rows: DataFrame, scaler: Scaler, config: TrainConfig) -> PipelineModel:
-    has_checkpoint_dir(train_rows.sparkSession)
+    need_checkpoint_dir(train_rows.sparkSession)
     features = feature_pipeline(scaler, "_v", "clv_features")
     return _fit(features, GBTRegressor(
         featuresCol="clv_features", labelCol=CLV_LABEL, maxIter=config.clv_rounds,
@@ -201,14 +208,14 @@ class Models:
     clv_model: PipelineModel
     rfm_model: PipelineModel
     segments: Mapping[int, str]
-    vocabulary: Mapping[str, Sequence[str]]
+    vocabulary: DataFrame  # (column, label, code) of any number of labels
     best: str = "gbt"
     metrics: Mapping[str, object] = field(default_factory=dict)
     candidates: Mapping[str, PipelineModel] = field(default_factory=dict)
     inputs: tuple[str, ...] = INPUT_NAMES
 
     def churn(self, df: DataFrame) -> DataFrame:
-        return predict_churn(self.churn_model, df)
+        return predict_churn(self.churn_model, df, self.vocabulary)
 
     def clv(self, df: DataFrame) -> DataFrame:
         kept = [c for c in df.columns if c != "PredCLV"]
@@ -227,9 +234,8 @@ class Models:
 def train(df: DataFrame, config: TrainConfig | None = None) -> Models:
     """Fit all models on a complete, labelled customer table."""
     config = config or TrainConfig()
-    rows = laid_out(df.select(ID, *INPUT_NAMES, CHURN_LABEL, CLV_LABEL))
-    vocabulary = learn_vocabulary(rows)
-    features = churn_features(rows, vocabulary)
+    rows, vocabulary = encoded_rows(df.select(ID, *INPUT_NAMES, CHURN_LABEL, CLV_LABEL))
+    features = churn_features(rows)
     parts = split(rows, config.fraction, config.seed, stratify=CHURN_LABEL)
     fit_rows, test = parts.filter("is_train"), parts.filter("not is_train")
     clv_parts = split(rows, config.fraction, config.seed)
@@ -302,30 +308,34 @@ def model_summary(models: Models, spark: SparkSession) -> DataFrame:
                "segments long, artefacts string")
 
 
+#: Of saved models: 2 has the label codes as a table of their own.
+FORMAT = 2
+
+
 def _metadata(models: Models) -> dict[str, object]:
     return {
         "spark_version": pyspark.__version__,
         "churn_features": list(CHURN_FEATURES), "clv_features": list(CLV_FEATURES),
         "rfm_features": list(RFM_FEATURES), "best": models.best,
-        "labels": [{"column": c, "labels": list(v)} for c, v in models.vocabulary.items()],
+        "format": FORMAT,
         **{k: v for k, v in models.metrics.items()},
     }
 
 
 _METADATA_SCHEMA = (
     "spark_version string, churn_features array<string>, clv_features array<string>, "
-    "rfm_features array<string>, best string, "
-    "labels array<struct<column:string,labels:array<string>>>, "
+    "rfm_features array<string>, best string, format int, "
     "rf_auc double, rf_accuracy double, gbt_auc double, gbt_accuracy double, "
     "clv_r2 double, clv_mae double, train_size long, test_size long"
 )
 
 
 def save_models(models: Models, path: str, spark: SparkSession) -> None:
-    """Write the fitted pipelines, the segment names and, last, the metadata."""
+    """Write the fitted pipelines, the label codes, the segment names and, last, the metadata."""
     for name, model in (("churn", models.churn_model), ("clv", models.clv_model),
                         ("rfm", models.rfm_model)):
         model.write().overwrite().save(f"{path}/{name}")
+    models.vocabulary.write.mode("overwrite").parquet(f"{path}/labels")
     spark.createDataFrame(list(models.segments.items()), "Cluster int, Segment string").coalesce(
         1).write.mode("overwrite").parquet(f"{path}/segments")
     spark.createDataFrame([_metadata(models)], _METADATA_SCHEMA).coalesce(1).write.mode(
@@ -345,19 +355,19 @@ def load_models(spark: SparkSession, path: str) -> Models:
         raise FileNotFoundError(f"no trained models at {path}")
     segments = {r["Cluster"]: r["Segment"] for r in
                 spark.read.parquet(f"{path}/segments").collect()}
-    numbers = {k: v for k, v in meta.asDict().items() if isinstance(v, (int, float))}
+    numbers = {k: v for k, v in meta.asDict().items() if isinstance(v, (int, float)) and k != "format"}
     return Models(
         PipelineModel.load(f"{path}/churn"), PipelineModel.load(f"{path}/clv"),
         PipelineModel.load(f"{path}/rfm"), segments,
-        {e["column"]: list(e["labels"]) for e in meta["labels"]}, meta["best"], numbers)
+        spark.read.schema(CODES).parquet(f"{path}/labels"), meta["best"], numbers)
 
 
 def is_stale(spark: SparkSession, path: str) -> bool:
-    """True when nothing is saved, or it was made by another version or feature list."""
+    """True when nothing is saved, or it was made by another version, format or feature list."""
     meta = _read_metadata(spark, path)
     return meta is None or (
-        meta["spark_version"], meta["churn_features"], meta["clv_features"], meta["rfm_features"]
-    ) != (pyspark.__version__, list(CHURN_FEATURES), list(CLV_FEATURES), list(RFM_FEATURES))
+        meta["format"], meta["spark_version"], meta["churn_features"], meta["clv_features"], meta["rfm_features"]
+    ) != (FORMAT, pyspark.__version__, list(CHURN_FEATURES), list(CLV_FEATURES), list(RFM_FEATURES))
 
 
 def train_if_stale(df: DataFrame, path: str, config: TrainConfig | None = None) -> Models:

@@ -8,6 +8,8 @@ is computed again. Nothing is ever written to a machine's own folder.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,6 +25,19 @@ def has_checkpoint_dir(spark: SparkSession) -> bool:
     return True
 
 
+def need_checkpoint_dir(spark: SparkSession) -> None:
+    """For jobs of hundreds of rounds, whose lineage has to be cut in the midst of a fit.
+
+    A local session gets a temporary folder where none is named. A cluster session is refused: its executors
+    would not see each other's files, and without a folder one lost executor repeats every round.
+    """
+    if has_checkpoint_dir(spark):
+        return
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("boosting needs spark.checkpoint.dir, a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stayline-"))
+
+
 def stage(df: DataFrame) -> DataFrame:
     if has_checkpoint_dir(df.sparkSession):
         return df.checkpoint(eager=True)

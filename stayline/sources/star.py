@@ -179,17 +179,28 @@ def customer_view(
 _CUSTOMER_KEYS = {"customer": "c_custkey", "orders": "o_custkey", "events": "user_id"}
 
 
+#: Lists of customers up to so many bytes of keys are sent to every task.
+BROADCAST_BYTES = 8 << 20
+_KEY_BYTES = 32
+
+
 def with_view_columns(listed: DataFrame, tables: Tables, columns: Sequence[str]) -> DataFrame:
-    """Add view columns to a short list of customers, derived for those customers alone.
+    """Add view columns to a list of customers, derived for those customers alone.
 
-    The list is broadcast and read several times: stage it, and keep it a top list. A
-    customer without a prior order keeps nulls.
+    The list is counted and read several times: stage it. Its keys are broadcast up to a measured
+    size; a longer list filters the tables by a shuffled semi join on the customer key, before they are
+    aggregated on that key. Repeated customers each get the columns, a customer without a prior order
+    keeps nulls, and an empty list stays one.
     """
+    few = listed.count() * _KEY_BYTES <= BROADCAST_BYTES
+
     def of_listed(name: str) -> DataFrame:
         key = _CUSTOMER_KEYS.get(name)
         if key is None:
             return tables(name)
-        return tables(name).join(F.broadcast(listed.select(F.col(ID).alias(key))), key, "left_semi")
+        keys = listed.select(F.col(ID).alias(key))
+        keys = F.broadcast(keys) if few else keys.distinct().hint("shuffle_merge")
+        return tables(name).join(keys, key, "left_semi")
 
     return listed.join(customer_view(of_listed, (ID, *columns)), ID, "left")
 

@@ -25,15 +25,27 @@ def _split_off(rows: DataFrame, nulls_too: bool) -> tuple[DataFrame, DataFrame]:
     return rows.filter(~bad).drop(BROKEN), rows.filter(bad)
 
 
+def _headers(spark: SparkSession, paths: list[str]) -> dict[str, list[str]]:
+    """The paths under their first line that isn't blank, found in one pass over the files."""
+    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    first = spark.read.text(paths).filter(F.trim("value") != "").select(
+        "value", place.alias("place"), F.col("_metadata.file_path").alias("path"))
+    found: dict[str, list[str]] = {}
+    for row in first.groupBy("path").agg(F.min_by("value", "place").alias("header")).collect():  # a row a file
+        found.setdefault(row["header"], []).append(row["path"])
+    return {header: sorted(found[header]) for header in sorted(found)}
+
+
 def score_stream(
     spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str, scorer: Scorer,
     schema: T.StructType | None = None, null_rows: str = "reject", reject_dir: str | None = None,
-    once: bool = True, files_per_batch: int = 64,
+    once: bool = True, files_per_batch: int = 1000,
 ) -> StreamingQuery:
     """Bulk-score every new CSV in `in_dir` into parquet files in `out_dir`.
 
-    The stream carries file names; each file is read by its own header, so files may differ in
-    column order and set. Rows that don't parse, and with `null_rows="reject"` rows with a null
+    The stream carries file names. Files of a batch that have the same header are read and written
+    together, so a batch takes a few jobs for each distinct header, however many files it has; files may
+    differ in column order and set, and a file without any line gives nothing. Rows that don't parse, and with `null_rows="reject"` rows with a null
     number, go as text to `reject_dir` (default: a sibling of `out_dir`) and don't stop the stream;
     `null_rows="default"` fills nulls. Output lies in one folder per batch, which a repeated batch
     overwrites, so each file counts once. `once` stops after the files present now.
@@ -43,13 +55,13 @@ def score_stream(
 
     def work(batch: DataFrame, number: int) -> None:
         paths = [r.path for r in batch.select("path").collect()]  # at most files_per_batch
-        for k, path in enumerate(sorted(paths)):
-            rows = read_customers(spark, path, types, mode="PERMISSIVE", broken=True)
+        for k, alike in enumerate(_headers(spark, paths).values()):
+            rows = read_customers(spark, alike, types, mode="PERMISSIVE", broken=True)
             good, bad = _split_off(rows, null_rows == "reject")
             scored, _ = score_bulk(good, scorer, null_rows="keep" if null_rows == "reject" else null_rows)
-            place = f"batch={number}/file={k}"
+            place = f"batch={number}/header={k}"
             scored.write.mode("overwrite").parquet(f"{out_dir}/{place}")
-            bad.select(F.lit(path).alias("path"), F.to_json(F.struct(*bad.columns)).alias("row")) \
+            bad.select(F.col("_metadata.file_path").alias("path"), F.to_json(F.struct(*bad.columns)).alias("row")) \
                 .write.mode("overwrite").parquet(f"{rejected}/{place}")
 
     names = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", "*.csv") \

@@ -6,20 +6,36 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
-from stayline.operators import features
+from stayline.operators import features, quality
 
 LABELS = {"Gender": ["Female", "Male"], "AppUsage": ["High", "Low", "Medium"]}
 
 
 def test_codes_follow_the_alphabet(spark):
     df = spark.createDataFrame([("Male", "Low"), ("Female", "Medium")], "Gender string, AppUsage string")
-    encoders = features.encoders_for(LABELS)
-    rows = features.encode(df, encoders).select("Gender_enc", "AppUsage_enc").collect()
-    assert [tuple(r) for r in rows] == [(1.0, 1.0), (0.0, 2.0)]
-    classes = features.encoder_classes(df, encoders).collect()
-    assert [tuple(r) for r in classes][:2] == [("Gender", 0, "Female"), ("Gender", 1, "Male")]
-    with pytest.raises(Exception):
-        features.encode(df.withColumn("Gender", F.lit("U")), encoders).collect()
+    codes = features.codes_for(spark, LABELS)
+    rows = features.encode(df, codes).select("Gender_enc", "AppUsage_enc").collect()
+    assert sorted(tuple(r) for r in rows) == [(0.0, 2.0), (1.0, 1.0)]
+    assert [tuple(r) for r in codes.collect()][:2] == [("Gender", "Female", 0), ("Gender", "Male", 1)]
+    for label in (F.lit("U"), F.lit(None).cast("string")):
+        with pytest.raises(Exception, match="unknown label in Gender"):
+            features.encode(df.withColumn("Gender", label), codes).collect()
+    learned = features.label_codes(df).orderBy("column", "code").collect()
+    assert [tuple(r) for r in learned] == [
+        ("AppUsage", "Low", 0), ("AppUsage", "Medium", 1), ("Gender", "Female", 0), ("Gender", "Male", 1)]
+
+
+@pytest.mark.parametrize("most", [0, quality.BROADCAST_BYTES])
+def test_a_million_labels_are_encoded(spark, monkeypatch, many_ranges, most):
+    """No list of labels on the driver: codes are ranks of a table, joined in by shuffle where it is large."""
+    monkeypatch.setattr(quality, "BROADCAST_BYTES", most)
+    n = 1_000_000
+    df = spark.range(2 * n).select(
+        F.format_string("c%07d", (F.col("id") * 7919) % n).alias("Location"), F.lit("Male").alias("Gender"), "id")
+    codes = features.label_codes(df)
+    got = features.encode(df, codes)
+    wrong = got.filter((F.col("Location_enc") != F.substring("Location", 2, 7).cast("double")) | (F.col("Gender_enc") != 0))
+    assert codes.count() == n + 1 and got.count() == 2 * n and wrong.isEmpty()
 
 
 def test_population_scaling_and_constant_columns(spark):

@@ -46,12 +46,11 @@ def test_unknown_categories(spark):
     assert place.first()[0] == "FRANCE"
 
 
-def test_vocabulary_is_sorted_and_bounded(spark):
-    df = frame(spark, [("b", "x"), ("a", "x"), (None, "y")], "Gender string, Location string")
-    words = quality.learn_vocabulary(df, ["Gender", "Location"])
-    assert words == {"Gender": ["a", "b"], "Location": ["x", "y"]}
-    with pytest.raises(ValueError):
-        quality.learn_vocabulary(df, ["Gender"], max_labels=1)
+def test_a_label_given_twice_counts_once(spark):
+    df = frame(spark, [("a",), ("z",)], "Gender string")
+    table = frame(spark, [("Gender", "a"), ("Gender", "a"), ("Gender", "b")], "column string, label string")
+    rows = quality.sanitize_categories(df, table).collect()
+    assert sorted(r[0] for r in rows) == ["a", "a"]
 
 
 @pytest.mark.parametrize("most", [0, quality.BROADCAST_BYTES])

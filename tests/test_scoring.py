@@ -5,6 +5,7 @@ from stayline.plans import scoring
 from stayline.plans.scorecard import Scorecard
 from stayline.sources import customers, export_csv, keep_table, read_customers, requests
 from stayline.sources.exports import BULK_COLUMNS, select_present
+from stayline.sources import star
 from stayline.sources.star import (
     VIEW_COLUMNS, customer_view, partner_base, partner_upload, star_tables,
 )
@@ -161,6 +162,43 @@ def test_stream_reads_each_file_by_its_header_and_puts_bad_rows_aside(spark, tmp
     assert spark.read.parquet(str(tmp_path / "out_rejected")).count() == 2
 
 
+def test_a_stream_of_a_thousand_files_takes_a_few_jobs(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for i in range(1000):
+        text = f"CustomerID,Age,TotalSpent\n{i},{30 if i % 10 else ''},{i}.5\n" if i % 2 else f"\nTotalSpent,CustomerID\n{i}.5,{i}\n"
+        (folder / f"f{i:04}.csv").write_text(text if i else "")
+    spark.sparkContext.setJobGroup("thousand", "")
+    score_stream(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "state"), CARD, null_rows="reject").awaitTermination()
+    out = spark.read.option("mergeSchema", True).parquet(str(tmp_path / "out"))
+    assert {(r.CustomerID, r.TotalSpent) for r in out.select("CustomerID", "TotalSpent").collect()} == {
+        (i, i + 0.5) for i in range(1, 1000)}
+    assert len([d for d in (tmp_path / "out").rglob("header=*")]) == 2
+    bad = tmp_path / "bad"
+    _csv(bad, "CustomerID,Age\n1,x\n")
+    _csv(bad, "CustomerID,Age\n2,30\n3,y\n")
+    score_stream(spark, str(bad), str(tmp_path / "o2"), str(tmp_path / "s2"), CARD).awaitTermination()
+    rejected = spark.read.parquet(str(tmp_path / "o2_rejected")).collect()
+    assert sorted(r.path.rsplit("/", 1)[1] for r in rejected) == ["0.csv", "1.csv"]
+
+
+def test_late_columns_of_a_long_list(spark, folder, monkeypatch):
+    """Beyond a measured size the listed keys are joined by shuffle; the rows are the same."""
+    tables = star_tables(spark, folder)
+    view = customer_view(tables)
+    listed = view.select("CustomerID", "TotalSpent").unionByName(view.select("CustomerID", "TotalSpent").limit(3)).cache()
+    want = ("Age", "Location", "PreferredCategory", "AppUsage")
+    few = star.with_view_columns(listed, tables, want)
+    monkeypatch.setattr(star, "BROADCAST_BYTES", 0)
+    many = star.with_view_columns(listed, tables, want)
+    plan = many._jdf.queryExecution().optimizedPlan().toString()
+    semi = [line for line in plan.splitlines() if "LeftSemi" in line]
+    assert semi and all("strategy=merge" in line for line in semi)
+    assert sorted(map(str, few.collect())) == sorted(map(str, many.collect()))
+    assert many.count() == view.count() + 3
+    assert star.with_view_columns(listed.limit(0), tables, want).count() == 0
+
+
 @pytest.mark.parametrize("columns", [["*"], ["ChurnProb"], ["CustomerID"]])
 def test_null_policy_holds_for_every_selection(spark, columns):
     rows = requests(spark, [{"CustomerID": 1, "Age": None, "TotalSpent": 5.0}, {"CustomerID": 2, "Age": 30, "TotalSpent": 5.0}])

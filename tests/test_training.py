@@ -60,10 +60,10 @@ def test_selection_prefers_boosting_on_ties():
 
 
 def test_same_seed_same_model(planted, models):
-    rows = training.laid_out(planted.repartition(5))
-    features = training.churn_features(rows, models.vocabulary)
+    rows, _ = training.encoded_rows(planted.repartition(5))
+    features = training.churn_features(rows)
     one = training.train_rf(rows, features, CONFIG).stages[-1].featureImportances
-    again = training.laid_out(planted.repartition(3))
+    again, _ = training.encoded_rows(planted.repartition(3))
     two = training.train_rf(again, features, CONFIG).stages[-1].featureImportances
     assert np.allclose(one.toArray(), two.toArray())
 
@@ -94,7 +94,7 @@ def test_summaries(spark, planted, models):
     compared = training.model_comparison(models, spark)
     assert compared.filter("selected").count() == 1
     from stayline.operators.features import split
-    scored = training.predict_churn(models.churn_model, split(planted, stratify="ChurnRisk"))
+    scored = models.churn(split(planted, stratify="ChurnRisk"))
     parts = {r["part"]: r["n"] for r in training.performance(scored).collect()}
     assert parts["all"] == 2000 and parts["train"] + parts["test"] == 2000
 
@@ -107,7 +107,8 @@ def test_save_load_and_staleness(spark, planted, models, tmp_path, monkeypatch):
     training.save_models(models, path, spark)
     assert not training.is_stale(spark, path)
     loaded = training.load_models(spark, path)
-    assert loaded.vocabulary == models.vocabulary and loaded.segments == models.segments
+    assert sorted(loaded.vocabulary.collect()) == sorted(models.vocabulary.collect())
+    assert loaded.segments == models.segments
     columns = ["CustomerID", "ChurnProb", "PredCLV", "Segment"]
     a = scoring.score_dashboard(planted, models).select(columns)
     b = scoring.score_dashboard(planted, loaded).select(columns)
@@ -137,3 +138,18 @@ def test_kmeans_recovers_blobs_and_elbow_falls(spark):
     curve = training.elbow_curve(df, ks=range(2, 6), restarts=2).orderBy("k").collect()
     assert [r["k"] for r in curve] == [2, 3, 4, 5]
     assert all(r["inertia"] >= 0 for r in curve) and curve[0]["inertia"] > curve[2]["inertia"] * 5
+
+
+def test_boosting_is_refused_on_a_cluster_without_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from stayline.sources import staging
+
+    made = []
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077", setCheckpointDir=made.append)
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        staging.need_checkpoint_dir(session)
+    context.master = "local[4]"
+    staging.need_checkpoint_dir(session)
+    assert len(made) == 1
