@@ -22,7 +22,7 @@ _SPACE_RUN = re.compile(r" (?:\s|$)")
 #: A long unit is encoded anew each time; with the entry limit this bounds the table's memory.
 LONGEST_KEPT, MOST_KEPT = 64, 1_000_000
 #: Characters that are split at a time.
-LONGEST_ROW = 1 << 23
+LONGEST_ROW = 1 << 22
 
 
 def units(text: str) -> list[str]:
@@ -54,54 +54,64 @@ class UnitEncoder:
         for token, at in self.tokenizer.get_vocab().items():
             self.spaced[at] = token.startswith("\u0120")  # how byte-level vocabularies write a space
         self.known: dict[str, bytes] = {"": b""}
-        self.stops: dict[str, bytes] = {}
+        self.alone: dict[str, bytes] = {}
 
     def _alone(self, unit: str) -> bytes:
         return np.array(self.tokenizer.encode(unit, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learned(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words with a space before them, some to a call.
+    def _learn(self, words: list[str]) -> None:
+        """Put the ids of words with a space before them into the table, some to a call.
 
         Stops behind a letter are a token run of their own, so such a word has the ids of the word without
         them and those of the stops. The other units have one token that begins with a space, their first;
         they are run together and their ids cut before such tokens.
         """
-        bare = {w: w.rstrip(_STOPS) for w in words}
-        bare = {w: b if b and b[-1].isalpha() else w for w, b in bare.items()}
-        todo = list({b for b in bare.values() if b not in self.known})
-        found: dict[str, bytes] = {}
+        known, todo, later = self.known, {}, []
+        for word in words:
+            bare = word.rstrip(_STOPS)
+            if len(bare) == len(word) or not bare or not bare[-1].isalpha():
+                todo[word] = None
+            elif bare in known:
+                known[word] = known[bare] + self._kept_alone(word[len(bare):])
+            else:
+                todo[bare] = None
+                later.append((word, bare))
+        todo = list(todo)
         for start in range(0, len(todo), 64):
             part = todo[start:start + 64]
             ids = np.array(self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False).ids, "<u4")
             cuts = (4 * np.append(np.flatnonzero(self.spaced[ids]), len(ids))).tolist()
             raw = ids.tobytes()
-            found.update(zip(part, (raw[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)), strict=True))
-        for word, own in bare.items():
-            if own is not word:
-                head = self.known[own] if own in self.known else found[own]
-                found[word] = head + self._stops(word[len(own):])
-        return found
-
-    def _stops(self, run: str) -> bytes:
-        ids = self.stops.get(run)
+            known.update(zip(part, [raw[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
+        for word, bare in later:
+            known[word] = known[bare] + self._kept_alone(word[len(bare):])
+
+    def _kept_alone(self, run: str) -> bytes:
+        """Ids of stops, or of a text's first word: nothing before them matters."""
+        ids = self.alone.get(run)
         if ids is None:
             ids = self._alone(run)
-            if len(self.stops) < 10_000 and len(run) <= LONGEST_KEPT:
-                self.stops[run] = ids
+            if len(self.alone) < 10_000 and len(run) <= LONGEST_KEPT:
+                self.alone[run] = ids
         return ids
 
     def _ids_of(self, words: list[str]) -> list[bytes]:
         """Ids of distinct words with a space before them, none for an empty one; the table keeps the words
         of the last call at least."""
         ids = list(map(self.known.get, words))
-        new = [i for i, own in enumerate(ids) if own is None]
-        found = self._learned([words[i] for i in new])
-        if len(self.known) + len(new) > MOST_KEPT:
+        at = [i for i, own in enumerate(ids) if own is None]
+        if not at:
+            return ids
+        if len(self.known) + len(at) > MOST_KEPT:
             self.known = {w: own for w, own in zip(words, ids, strict=True) if own is not None} | {"": b""}
-        for i in new:
-            ids[i] = found[words[i]]
-        self.known.update(found if max(map(len, found), default=0) <= LONGEST_KEPT else {
-            w: own for w, own in found.items() if len(w) <= LONGEST_KEPT})
+        new = [words[i] for i in at]
+        self._learn(new)
+        for i in at:
+            ids[i] = self.known[words[i]]
+        for word in [w for w in new if len(w) > LONGEST_KEPT]:
+            del self.known[word]
+            if len(bare := word.rstrip(_STOPS)) > LONGEST_KEPT:
+                self.known.pop(bare, None)
         return ids
 
     def _odd(self, text: str) -> bytes:
@@ -128,7 +138,7 @@ class UnitEncoder:
         alone: dict[int, int] = {}
         for word, text in first_words.items():  # a first word has no space before it
             alone[word] = len(ids)
-            ids.append(self._alone(text) if text else b"")
+            ids.append(self._kept_alone(text) if text else b"")
         of[heads] = [alone[w] for w in of[heads].tolist()]
         flat = np.frombuffer(b"".join(ids), "<u4")
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
