@@ -140,9 +140,10 @@ def part_count(rows: int, most: int = 256) -> int:
 def _best(queries: pa.Table, rows: pa.Table, k: int) -> tuple[list[np.ndarray], ...]:
     """Per query its k best rows: largest cosine, then least id."""
     own, ids = queries.column("query_id").to_numpy(), rows.column("vec_id").to_numpy()
+    row = rows.column("row").to_numpy()
     q, x = _matrix(queries.column("vector")), _matrix(rows.column("vector"))
     unit, size_q, size_x = _unit(x), np.sqrt((q * q).sum(axis=1)), np.sqrt((x * x).sum(axis=1))
-    out: tuple[list[np.ndarray], ...] = ([], [], [])
+    out: tuple[list[np.ndarray], ...] = ([], [], [], [])
     for at in range(0, len(q), 256):
         near = _unit(q[at:at + 256]) @ unit.T
         near[own[at:at + 256, None] == ids[None, :]] = -np.inf
@@ -150,10 +151,11 @@ def _best(queries: pa.Table, rows: pa.Table, k: int) -> tuple[list[np.ndarray],
         for i in range(len(near)):  # products differ in the last bits by place, so scores are made anew
             c = np.flatnonzero((near[i] >= edge[i] - 1e-9) & (near[i] > -np.inf))
             score = (x[c] * q[at + i]).sum(axis=1) / (size_q[at + i] * size_x[c])
-            first = np.lexsort((ids[c], -score))[:k]
+            first = np.lexsort((row[c], ids[c], -score))[:k]
             out[0].append(np.full(len(first), own[at + i], np.int64))
             out[1].append(ids[c[first]])
-            out[2].append(score[first])
+            out[2].append(row[c[first]])
+            out[3].append(score[first])
     return out
 
 
@@ -165,14 +167,16 @@ def nearest(
     """Per query its k nearest other rows found: query_id, rank (from 1), vec_id, score.
 
     Null, zero and non-finite vectors, vectors of another length than most, and rows
-    without an id take no part. Repeated rows are candidates each; a row with the query's id is
-    the query's own. A query probes further parts until they hold k other rows. An empty table
-    gives no rows. `sample` bounds the rows that the index is learned from, not those it holds.
+    without an id take no part. Usable rows are numbered and stored with their numbers. Repeated rows are
+    candidates each; a row with the query's id is the query's own. An id that asks in several rows gets one
+    answer: a candidate counts once, with the largest cosine that any of the id's rows has with it. A query
+    probes further parts until they hold k rows of other ids. An empty table gives no rows. `sample` bounds the rows that the index is learned from, not those it holds.
     """
     spark = table.sparkSession
     found = "query_id long, rank int, vec_id long, score double"
     rows = table.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vector"),
                         is_query.alias("asks")).filter(F.col("vec_id").isNotNull() & usable("vector"))
+    rows = kept(rows.withColumn("row", F.monotonically_increasing_id()))
     sizes = rows.groupBy(F.size("vector").alias("width")).count().orderBy(F.desc("count"), "width").first()
     if sizes is None:
         return spark.createDataFrame([], found)
@@ -198,9 +202,9 @@ def nearest(
             if batch.num_rows:
                 part = shared.value.probabilities(_unit(_matrix(batch.column(1)))).argmax(axis=1)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part, pa.int32())],
-                                                 names=["vec_id", "vector", "asks", "part"])
+                                                 names=["vec_id", "vector", "asks", "row", "part"])
 
-    placed = kept(rows.mapInArrow(assign, "vec_id long, vector array<double>, asks boolean, part int"))
+    placed = kept(rows.mapInArrow(assign, "vec_id long, vector array<double>, asks boolean, row long, part int"))
     count = np.zeros(parts, np.int64)
     for row in placed.groupBy("part").count().collect():  # one row a part
         count[row.part] = row["count"]
@@ -211,33 +215,38 @@ def nearest(
                 continue
             order = np.argsort(-shared.value.probabilities(_unit(_matrix(batch.column(1)))), axis=1, kind="stable")
             before = np.cumsum(count[order], axis=1) - count[order]
-            wanted = (np.arange(parts) < probes) | (before < k + 1)
+            same = batch.column(2).to_numpy()[:, None]  # rows of the query's id may fill a part
+            wanted = (np.arange(parts) < probes) | (before < k + same)
             at, nth = np.nonzero(wanted)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)),
                  pa.array(order[at, nth].astype(np.int32))], names=["query_id", "vector", "part"])
 
-    asked = kept(placed.filter("asks").select("vec_id", "vector")
+    same = placed.groupBy("vec_id").agg(F.count(F.lit(1)).alias("same"), F.max("asks").alias("asks")).filter("asks")
+    asked = kept(placed.filter("asks").select("vec_id", "vector").distinct()
+                 .join(same, "vec_id").select("vec_id", "vector", "same")
                  .mapInArrow(route, "query_id long, vector array<double>, part int"))
     asks = {r.part: r["count"] for r in asked.groupBy("part").count().collect()}
     layout = [(p, max(1, math.ceil(int(count[p]) / block)), max(1, math.ceil(asks.get(p, 0) / query_block)))
               for p in range(parts)]
     plan = F.broadcast(spark.createDataFrame(layout, "part int, blocks int, query_blocks int"))
     at = ["part", "block", "query_block"]
-    deal = lambda name, n: F.pmod(F.xxhash64(name), F.col(n)).cast("int")
+    deal = lambda n, *names: F.pmod(F.xxhash64(*names), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = asked.join(plan, "part").select(
-        "part", every("blocks").alias("block"), deal("query_id", "query_blocks").alias("query_block"), "query_id", "vector")
+        "part", every("blocks").alias("block"), deal("query_blocks", "query_id", "vector").alias("query_block"), "query_id", "vector")
     right = placed.join(plan, "part").select(
-        "part", deal("vec_id", "blocks").alias("block"), every("query_blocks").alias("query_block"), "vec_id", "vector")
+        "part", deal("blocks", "row").alias("block"), every("query_blocks").alias("query_block"), "vec_id", "row", "vector")
 
     def compare(queries: pa.Table, members: pa.Table) -> pa.Table:
-        best = ([], [], []) if not queries.num_rows or not members.num_rows else _best(queries, members, k)
-        kinds = (np.int64, np.int64, np.float64)
+        best = ([], [], [], []) if not queries.num_rows or not members.num_rows else _best(queries, members, k)
+        kinds = (np.int64, np.int64, np.int64, np.float64)
         return pa.table({n: np.concatenate(x) if x else np.zeros(0, t)
-                         for n, x, t in zip(("query_id", "vec_id", "score"), best, kinds, strict=True)})
+                         for n, x, t in zip(("query_id", "vec_id", "row", "score"), best, kinds, strict=True)})
 
-    local = left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(compare, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return local.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k) \
+    local = left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(
+        compare, "query_id long, vec_id long, row long, score double")
+    once = local.groupBy("query_id", "vec_id", "row").agg(F.max("score").alias("score"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "row")
+    return once.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k) \
         .select("query_id", "rank", "vec_id", "score")

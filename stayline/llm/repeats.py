@@ -334,6 +334,8 @@ def _whole_words(raw: bytes, start: int, end: int) -> tuple[int, int, int]:
     if end < len(raw) and raw[end:end + 1] not in space:
         while end > start and raw[end - 1:end] not in space:
             end -= 1
+    while 0 < start < end and raw[start:start + 1] in space:  # stays between what is left
+        start += 1
     return start, end, len(raw[start:end].split())
 
 

@@ -245,6 +245,84 @@ def test_neighbours_recall_ties_and_odd_vectors(spark):
     assert neighbours.nearest(few.filter("vec_id > 9"), F.lit(True)).count() == 0
 
 
+def test_neighbours_of_repeated_rows_equal_brute_force(spark):
+    """Repeated queries, repeated candidates, and an id that asks with two vectors; one part, so all is found."""
+    pick = np.random.default_rng(9)
+    x = pick.standard_normal((60, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    rows += [(0, x[0].tolist())] * 2 + [(44, x[44].tolist()), (50, x[3].tolist()), (50, x[50].tolist())]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    for block in (8192, 7):
+        got = defaultdict(list)
+        found = neighbours.nearest(table, F.pmod("vec_id", F.lit(50)) == 0, parts=1, block=block, query_block=2)
+        for r in found.orderBy("query_id", "rank").collect():
+            got[r.query_id].append((r["rank"], r.vec_id, round(r.score, 12)))
+        for q in (0, 50):
+            own = [np.array(v) for i, v in rows if i == q]
+            score = [(-max(round(float(np.dot(v, o) / np.sqrt(np.dot(v, v) * np.dot(o, o))), 12) for o in own), i)
+                     for i, v in ((i, np.array(v)) for i, v in rows) if i != q]
+            assert got[q] == [(n, i, -s) for n, (s, i) in enumerate(sorted(score)[:5], 1)]
+        assert set(got) == {0, 50}
+
+
+def direct_fingerprint(text, words=3):
+    import re
+
+    import xxhash
+
+    found = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    shingles = [" ".join(found[i:i + words]) for i in range(max(1, len(found) - words + 1))] if found else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_registered_simhash_equals_a_direct_computation(spark, folder):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    rows = queries.op5_simhash(spark, folder).collect()
+    fps = {i: direct_fingerprint(t) for i, t in texts.items()}
+    assert {r.doc_id: r.fingerprint for r in rows} == {i: f"{f:016x}" for i, f in fps.items()}
+    ids = list(fps)
+    assert sorted((r.doc_id, r.component_id) for r in rows) == brute_components(ids, [fps[i] for i in ids])
+
+
+def test_registered_repeats_equal_brute_force(spark, folder):
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    want = {}
+    for (i, t), c in zip(texts.items(), brute_cover(list(texts.values()), 400), strict=True):
+        left = np.frombuffer(t, np.uint8)[~c].tobytes()
+        want[i] = (len(t), int(c.sum()), int((np.diff(c.astype(int), prepend=0) == 1).sum()), hashlib.sha256(left).hexdigest())
+    rows = queries.op3_repeats(spark, folder).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in rows} == want
+
+
+def test_repeats_cut_back_to_whole_words(spark, tmp_path):
+    shared = " ".join(f"word{i}" for i in range(60))
+    texts = [f"start a{shared}z end", f"begin b{shared}y stop", "few words " * 3 + "x" * 300, "other " + "x" * 300]
+    spark.createDataFrame(list(enumerate(texts)), "rid long, text string").write.parquet(str(tmp_path / "t"))
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    rows = repeats.remove_repeats(docs, window=100, into="f", least_words=50).select("rid", "f.kept_text", "f.n_spans").collect()
+    assert {r.rid: (r.kept_text, r.n_spans) for r in rows} == {
+        0: ("start aword0 word59z end", 1), 1: ("begin bword0 word59y stop", 1), 2: (texts[2], 0), 3: (texts[3], 0)}
+
+
+def test_stages_on_an_empty_table_and_on_clashing_names(spark, odd, empty, folder):
+    names = ["row", "_row", "found", "_found", "component_id", "spans", "zip", "_rid"]
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty, folder).count() == 0
+        if stage is not corpus_pipeline.pack_windows:
+            clash = odd
+            for name in names:
+                clash = clash.withColumn(name, F.lit("q"))
+            out = stage(spark, clash, folder)
+            assert out.columns == clash.columns
+            assert all(r[n] == "q" for r in out.collect() for n in names)
+
+
+def test_held_out_is_never_null(spark):
+    ids = spark.createDataFrame([(None,), (1,), (2,)], "doc_id long")
+    assert all(v is not None for r in ids.select(queries.held_out(), queries.held_out(3, 1)).collect() for v in r)
+
+
 def test_url_rules(spark):
     urls = ["http://a.net/x", "https://EXAMPLE.net/en/1?q", "http://example.net/en", "http://x.org/fr/", "http://org", "http://net",
             "http://www.example.com/de/a#b", "example.com/de/", None, "http://b.example.net?x=/en/", "http://notexample.com/de/"]

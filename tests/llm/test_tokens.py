@@ -133,3 +133,51 @@ def test_token_files_round_trip(spark, odd, empty, odd_rows, byte_bpe, ids_of, t
         assert sorted(map(tuple, rows.collect()), key=lambda r: r[1]) == want
     shards = token_files.write_token_files(empty, f"file://{tmp_path}/none", byte_bpe)
     assert token_files.read_token_files(spark, f"file://{tmp_path}/none", shards).count() == 0
+
+
+def test_registered_token_queries_equal_the_library(spark, folder, ids_of):
+    """The digests that op1, op2, op7 and op9 derive, row by row."""
+    import hashlib
+    import zlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from stayline.llm import queries
+
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
+    ids = {i: ids_of(t).tobytes() for i, t in texts.items()}
+    crc = lambda raw: zlib.crc32(raw)
+
+    pieces = queries.op1_packing(spark, folder).collect()
+    one = np.array([1], "<u4").tobytes()
+    by_sequence = {}
+    for r in pieces:
+        whole = ids[r.doc_id] + one
+        assert r.doc_tokens == len(whole) // 4 and r.ids_crc32 == crc(whole[4 * r.start:4 * (r.start + r.length)])
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert sum(r.length for r in pieces) == sum(len(x) // 4 + 1 for x in ids.values())
+    for parts in by_sequence.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at == 2048 or at & (at - 1) == 0
+
+    word = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    word.no_truncation()
+    word.no_padding()
+    for r in queries.op2_bpe(spark, folder).collect():
+        own = word.encode(texts[r.doc_id], add_special_tokens=False).ids
+        assert r.n_tokens == len(own) and r.ids_sha256 == hashlib.sha256(np.array(own, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(word.decode(own, skip_special_tokens=False).encode()).hexdigest()
+
+    start, two = 0, np.array([2], "<u4").tobytes()
+    for r in queries.op7_token_files(spark, folder).orderBy("doc_id").collect():
+        whole = ids[r.doc_id] + two
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(whole) // 4, crc(whole))
+        start += len(whole) // 4
+
+    for r in queries.op9_token_counts(spark, folder).collect():
+        n = len(ids[r.doc_id]) // 4
+        assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 512)
