@@ -55,14 +55,15 @@ def write_token_files(
     """Write shards in ascending order of `key`; returns one row per shard: shard, docs, ids, base.
 
     A null text is empty and gives the end id alone. Null keys come first; rows with equal keys
-    are ordered by text. An empty table writes no shard.
+    stay in the order in which the table is read, and may lie in several shards. An empty table writes no shard.
     """
     spark, root = docs.sparkSession, local_path(folder)
     os.makedirs(root, exist_ok=True)
-    rows = docs.select(F.col(key).cast("long").alias("key"), text_of(text).alias("text"))
+    # The row's number splits a key that many rows have; keys and numbers alone are sampled for the ranges.
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.monotonically_increasing_id().alias("row"), text_of(text).alias("text"))
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartitionByRange(parts, F.col("key").asc_nulls_first()) \
-        .sortWithinPartitions(F.col("key").asc_nulls_first(), "text")
+    order = F.col("key").asc_nulls_first(), F.col("row").asc()
+    rows = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("key", "text")
     tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
     width = id_type(tokenizer, end_id)
 

@@ -181,3 +181,18 @@ def test_registered_token_queries_equal_the_library(spark, folder, ids_of):
     for r in queries.op9_token_counts(spark, folder).collect():
         n = len(ids[r.doc_id]) // 4
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 512)
+
+
+def test_one_key_for_half_of_the_rows_is_spread(spark, byte_bpe, ids_of, tmp_path):
+    rows = [(5, f"same key {i}") for i in range(300)] + [(i, f"own {i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    place = "file://" + str(tmp_path)
+    shards = token_files.write_token_files(docs, place, byte_bpe, partitions=6)
+    found = token_files.read_token_files(spark, place, shards, token_files.id_type(byte_bpe, 2)).orderBy("start").collect()
+    assert max(r.docs for r in shards.collect()) < 250
+    assert [r.doc_id for r in found] == sorted(i for i, _ in rows)
+    two, at = np.array([2], "<u4").tobytes(), 0
+    for r in found:
+        assert r.start == at
+        at += r.n_tokens
+    assert Counter((r.doc_id, bytes(r.ids)) for r in found) == Counter((i, ids_of(t).tobytes() + two) for i, t in rows)
