@@ -12,19 +12,20 @@ properly starts with, the last token at the point where that suffix begins and h
 tokens fewer were counted there. States are finite in number; they and their transitions
 are compiled when first met, and all are dropped when `MOST_EDGES` of them exist.
 
-Chunks: cutting before a space that a non-space follows never changes a count. From its first
-such cut on, a chunk's state map is constant (tokens added, state reached); before it, the
-map is kept as the few characters still to be read from the state that enters. Maps compose
-associatively; a text's chunks are joined by a pairwise scan, so that one very long text is
-spread over tasks.
+Chunks: a long text is cut into chunks that tasks read apart. A chunk's state map is a table from entry
+states to exit state and tokens added, a row a state. At first it has the state that reading the
+characters before the chunk leads to; that is the true one where a cut that never changes a count
+(before a space that a non-space follows) lies among them, and nearly always else, since the automaton
+forgets. Then the maps are closed: where a chunk's exit is no entry of the next one, the next one
+is read from that state too, until every exit is an entry. Closed maps compose associatively, and a text's
+count comes from a tree of Spark rounds over its chunks, `FAN_IN` maps to one.
 """
 
 from __future__ import annotations
 
+import ast
 import json
-import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
 from functools import lru_cache
 
 import pyarrow as pa
@@ -34,10 +35,12 @@ from pyspark.sql import functions as F
 
 from stayline.llm.bpe import byte_characters, merge_symbols
 from stayline.llm.byte_ids import units
-from stayline.llm.common import text_of
+from stayline.llm.common import kept, text_of
 
 MOST_EDGES, MOST_PAIRS, MOST_UNITS, LONGEST_UNIT = 800_000, 500_000, 500_000, 64
 _LETTER, _NUMBER, _SPACE = regex.compile(r"\p{L}"), regex.compile(r"\p{N}"), regex.compile(r"\s")
+#: Maps composed in one group.
+FAN_IN = 64
 #: What the pre-tokenizer takes off after an apostrophe at the start of a pre-token.
 SHORT, LONG = "stmd", {"r": "e", "v": "e", "l": "l"}
 
@@ -98,16 +101,6 @@ class BpeAutomaton:
         return state, total
 
 
-@dataclass(frozen=True)
-class ChunkMap:
-    """What a chunk does: `head` is read from the entering state; then, if `exit` is set, the
-    state is `exit` whatever came before, and `count` tokens were added after the head."""
-
-    head: str
-    count: int = 0
-    exit: State | None = None
-
-
 class Node:
     """A compiled state; edges: character -> (node reached, change of the count)."""
 
@@ -219,29 +212,14 @@ class Transducer:
         return specials + sum(
             known[u] if u in known else self._unit(u) for part in plain for u in units(part))
 
-    def chunk_map(self, text: str) -> ChunkMap:
-        """The state map of a chunk that holds no special string."""
-        parts = units(text)
-        head = "" if text[:1] == " " and text[1:2] and self.kind(text[1]) != "space" else parts.pop(0) if parts else ""
-        if not parts:
-            return ChunkMap(head)
-        *whole, last = parts
-        reached, count = self.run(self.START, last)
-        return ChunkMap(head, sum(map(self._unit, whole)) + count, reached)
-
-    def compose(self, left: ChunkMap, right: ChunkMap) -> ChunkMap:
-        if left.exit is None:
-            return ChunkMap(left.head + right.head, right.count, right.exit)
-        reached, more = self.run(left.exit, right.head)
-        return ChunkMap(left.head, left.count + more + right.count, right.exit or reached)
-
-    def scan(self, maps: list[ChunkMap]) -> int:
-        """Tokens of the texts whose chunk maps these are, composed pairwise."""
-        while len(maps) > 1:
-            pairs = [self.compose(a, b) for a, b in zip(maps[::2], maps[1::2], strict=False)]
-            maps = pairs + maps[len(maps) // 2 * 2:]
-        start = ChunkMap("", 0, self.START)
-        return self.compose(start, maps[0]).count if maps else 0
+    def entry(self, before: str) -> State:
+        """The state that a stretch of text leads to, read from its last cut on; a guess where it has none."""
+        return self.run(self.START, units(before)[-1])[0] if before else self.START
+
+
+def spelled(state: State) -> str:
+    """A state as a key: equal states are written alike."""
+    return repr(state)
 
 
 @lru_cache(maxsize=2)
@@ -249,14 +227,75 @@ def transducer(path: str) -> Transducer:
     return Transducer(path)
 
 
+_MAPS = "row long, piece long, at long, entry string, exit string, n long"
+
+
+def _map_rows(batches: Iterator[pa.RecordBatch], tokenizer: str) -> Iterator[pa.RecordBatch]:
+    """Chunks (row, piece, at, before, chunk, entry) to rows of their maps; a null entry is found from `before`."""
+    model = transducer(tokenizer)
+    for batch in batches:
+        entries, exits, counts = [], [], []
+        for before, chunk, entry in zip(*(batch.column(k).to_pylist() for k in (3, 4, 5)), strict=True):
+            state = model.entry(before) if entry is None else ast.literal_eval(entry)
+            reached, n = model.run(state, chunk)
+            entries.append(spelled(state))
+            exits.append(spelled(reached))
+            counts.append(n)
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns[:3], pa.array(entries, pa.string()), pa.array(exits, pa.string()), pa.array(counts, pa.int64())],
+            names=["row", "piece", "at", "entry", "exit", "n"])
+
+
+def closed_maps(chunks: DataFrame, tokenizer: str) -> DataFrame:
+    """State maps (row, piece, at, entry, exit, n) of stored chunks, in which every exit is an entry of the next."""
+    mapper = lambda b: _map_rows(b, tokenizer)
+    columns = ["row", "piece", "at", "before", "chunk"]
+    maps = kept(chunks.select(*columns, F.lit(None).cast("string").alias("entry")).mapInArrow(mapper, _MAPS))
+    new = maps
+    while True:
+        asked = new.select("row", "piece", (F.col("at") + 1).alias("at"), F.col("exit").alias("entry")).distinct()
+        missing = asked.join(maps, ["row", "piece", "at", "entry"], "left_anti")
+        new = kept(chunks.select(*columns).join(missing, ["row", "piece", "at"]).select(*columns, "entry").mapInArrow(mapper, _MAPS))
+        if new.isEmpty():
+            return maps
+        maps = maps.unionByName(new)
+
+
+def composed(maps: DataFrame, chunks: int) -> DataFrame:
+    """Closed maps of up to `chunks` chunks a piece, composed FAN_IN at a time: a map a piece is left, `at` 0."""
+
+    def compose(rows: pa.Table) -> pa.Table:
+        steps: dict[int, dict[str, tuple[str, int]]] = {}
+        for at, entry, leave, n in zip(*(rows.column(c).to_pylist() for c in ("at", "entry", "exit", "n")), strict=True):
+            steps.setdefault(at, {})[entry] = leave, n
+        first, *rest = sorted(steps)
+        out = []
+        for entry, (state, n) in steps[first].items():
+            for at in rest:
+                state, more = steps[at][state]
+                n += more
+            out.append((entry, state, n))
+        one = rows.select(["row", "piece"]).slice(0, 1)
+        row, piece = (one.column(c)[0].as_py() for c in ("row", "piece"))
+        return pa.table({
+            "row": pa.array([row] * len(out), pa.int64()), "piece": pa.array([piece] * len(out), pa.int64()),
+            "at": pa.array([first // FAN_IN] * len(out), pa.int64()), "entry": pa.array([o[0] for o in out], pa.string()),
+            "exit": pa.array([o[1] for o in out], pa.string()), "n": pa.array([o[2] for o in out], pa.int64())})
+
+    while chunks > 1:
+        maps = maps.groupBy("row", "piece", F.expr(f"at div {FAN_IN}").alias("group")).applyInArrow(compose, _MAPS)
+        chunks = -(-chunks // FAN_IN)
+    return maps
+
+
 def count_tokens(
-    docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", chunk: int = 65_536,
+    docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", chunk: int = 65_536, look_back: int = 256,
 ) -> DataFrame:
     """Per row: key, n_bytes and n_tokens.
 
     Null and empty texts have no tokens. Texts of more than `chunk` characters are cut into chunks
-    that are worked on apart and composed. Rows are kept one to one, repeated rows and null
-    keys included; an empty table gives an empty table.
+    that are worked on apart and composed; their first entries come from the `look_back` characters before them.
+    Rows are kept one to one, repeated rows and null keys included; an empty table gives an empty table.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), text_of(text).alias("text"))
     long = F.length("text") > chunk
@@ -273,39 +312,26 @@ def count_tokens(
     short = sized.filter(~long).mapInArrow(whole, "doc_id long, n_bytes long, n_tokens long")
 
     # A special string that a cut would part must stay whole: pieces between special strings are chunked.
-    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = transducer(tokenizer)
+        names = ["row", "doc_id", "n_bytes", "piece", "at", "before", "chunk"]
         for batch in batches:
             for i in range(batch.num_rows):
-                doc_id, row, n_bytes, text = (c[i].as_py() for c in batch.columns)
-                pieces = model.special.split(text)
-                for k, piece in enumerate(pieces):
+                row, doc_id, n_bytes, text = (c[i].as_py() for c in batch.columns)
+                for k, piece in enumerate(model.special.split(text)):
                     for at in range(0, max(1, len(piece)), chunk):
-                        yield pa.RecordBatch.from_arrays([
-                            pa.array([row], pa.int64()), pa.array([doc_id], pa.int64()),
-                            pa.array([n_bytes], pa.int64()), pa.array([k], pa.int64()),
-                            pa.array([at], pa.int64()), pa.array([piece[at:at + chunk]], pa.string()),
-                        ], names=["row", "doc_id", "n_bytes", "piece", "at", "chunk"])
-
-    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = transducer(tokenizer)
-        for batch in batches:
-            made = [pickle.dumps(model.chunk_map(t)) for t in batch.column(5).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(made, pa.binary())],
-                                             names=["row", "doc_id", "n_bytes", "piece", "at", "map"])
-
-    def join(rows: pa.Table) -> pa.Table:
-        model = transducer(tokenizer)
-        rows = rows.sort_by([("piece", "ascending"), ("at", "ascending")])
-        pieces: dict[int, list[ChunkMap]] = {}
-        for piece, made in zip(rows.column("piece").to_pylist(), rows.column("map").to_pylist(), strict=True):
-            pieces.setdefault(piece, []).append(pickle.loads(made))
-        total = len(pieces) - 1 + sum(map(model.scan, pieces.values()))  # special strings stand between
-        return rows.select(["doc_id", "n_bytes"]).slice(0, 1).append_column("n_tokens", pa.array([total], pa.int64()))
-
-    parts = sized.filter(long).select("doc_id", F.monotonically_increasing_id().alias("row"), "n_bytes", "text") \
-        .mapInArrow(chunks, "row long, doc_id long, n_bytes long, piece long, at long, chunk string")
-    mapped = parts.repartition("row", "piece", "at") \
-        .mapInArrow(maps, "row long, doc_id long, n_bytes long, piece long, at long, map binary")
-    joined = mapped.groupBy("row").applyInArrow(join, "doc_id long, n_bytes long, n_tokens long")
-    return short.unionByName(joined)
+                        own = (row, doc_id, n_bytes, k, at // chunk, piece[max(0, at - look_back):at], piece[at:at + chunk])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([v], pa.string() if n in ("before", "chunk") else pa.int64()) for n, v in zip(names, own, strict=True)],
+                            names=names)
+
+    chunks = kept(sized.filter(long).select(F.monotonically_increasing_id().alias("row"), "doc_id", "n_bytes", "text").mapInArrow(
+        cut, "row long, doc_id long, n_bytes long, piece long, at long, before string, chunk string")
+        .repartition("row", "piece", "at"))
+    most = chunks.agg(F.max("at")).first()[0]
+    if most is None:
+        return short
+    pieces = composed(closed_maps(chunks, tokenizer), most + 1).filter(F.col("entry") == spelled(Transducer.START))
+    totals = pieces.groupBy("row").agg((F.sum("n") + F.count(F.lit(1)) - 1).alias("n_tokens"))  # special strings stand between
+    known = chunks.filter("piece = 0 and at = 0").select("row", "doc_id", "n_bytes")
+    return short.unionByName(known.join(totals, "row").select("doc_id", "n_bytes", "n_tokens"))

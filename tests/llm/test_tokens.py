@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -52,14 +53,29 @@ def test_encode_decode_on_odd_rows(odd, empty):
     assert bpe.encode_decode(empty, path).count() == 0
 
 
-def test_transducer_counts_and_chunks(byte_bpe, ids_of):
-    model, pick = token_counts.Transducer(byte_bpe), random.Random(3)
+def test_transducer_counts(byte_bpe, ids_of):
+    model = token_counts.Transducer(byte_bpe)
     for text in fuzz(1200):
         assert model.count(text) == len(ids_of(text))
-        plain = text.replace("<|endoftext|>", "")
-        n = pick.randint(1, 9)
-        maps = [model.chunk_map(plain[i:i + n]) for i in range(0, len(plain), n)]
-        assert model.scan(maps) == model.count(plain)
+
+
+@pytest.mark.parametrize(("chunk", "look_back", "fan_in"), [(5, 3, 2), (9, 0, 64), (40, 40, 3)])
+def test_state_maps_are_closed_and_composed(spark, byte_bpe, ids_of, monkeypatch, chunk, look_back, fan_in):
+    """Entries that the characters before a chunk don't tell are found from the exits; trees of any width agree."""
+    monkeypatch.setattr(token_counts, "FAN_IN", fan_in)
+    pick = random.Random(5)
+    texts = [*fuzz(150), "".join(pick.choice("abcdefgh") for _ in range(700)), "'" * 50, " " * 90 + "x", "ab" * 99 + "'s it's'll"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    rows = token_counts.count_tokens(docs, byte_bpe, chunk=chunk, look_back=look_back).collect()
+    assert {r.doc_id: r.n_tokens for r in rows} == {i: len(ids_of(t)) for i, t in enumerate(texts)}
+
+
+def test_a_long_text_without_a_space_is_spread(spark, byte_bpe, ids_of):
+    pick = random.Random(6)
+    text = "".join(pick.choice("aeioubcdfglmnprstéß") for _ in range(400_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    row = token_counts.count_tokens(docs, byte_bpe, chunk=5_000).collect()[0]
+    assert (row.doc_id, row.n_bytes, row.n_tokens) == (1, len(text.encode()), len(ids_of(text)))
 
 
 def test_transducer_survives_a_full_table(byte_bpe, ids_of, monkeypatch):
@@ -70,7 +86,7 @@ def test_transducer_survives_a_full_table(byte_bpe, ids_of, monkeypatch):
 
 def test_count_tokens_cuts_long_texts(odd, empty, odd_rows, byte_bpe, ids_of):
     want = Counter((i, len((t or "").encode()), len(ids_of(t))) for i, t, *_ in odd_rows)
-    for chunk in (7, 65_536):
+    for chunk in (70, 65_536):
         assert Counter(map(tuple, token_counts.count_tokens(odd, byte_bpe, chunk=chunk).collect())) == want
     assert token_counts.count_tokens(empty, byte_bpe).count() == 0
 
