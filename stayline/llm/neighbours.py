@@ -7,13 +7,18 @@ The network puts every vector of the table into its most probable part and sends
 most probable ones, where it is compared exactly, in double precision. How many is measured: the
 fewest that find `recall` of the neighbours of sample rows which training didn't see.
 
+Where a part would hold more than `part_rows` rows it is divided again: a second graph, cut and network,
+learned in a task from a bounded sample of the part's own rows, route within it. So the parts grow in
+number with the table and not in size; a query goes to the most probable of all of them.
+
 Parts are dealt out in blocks of rows against blocks of queries, so that neither a large part nor a
-vector with many copies fills one task. Part counts come to the driver, vectors don't.
+vector with many copies fills one task. Part counts and networks come to the driver, vectors don't.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -94,17 +99,6 @@ class Router:
                     w[i] -= 0.005 * (mean[i] / (1 - 0.9 ** step)) / (np.sqrt(square[i] / (1 - 0.999 ** step)) + 1e-8)
         return model
 
-    def probes_for(self, recall: float, queries: np.ndarray, rows: np.ndarray, k: int) -> int:
-        """The fewest probes that reach a share of the queries' k nearest rows."""
-        if not len(queries):
-            return self.parts
-        near = np.argsort(-(queries @ rows.T), axis=1, kind="stable")[:, :k]
-        order = np.argsort(-self.probabilities(queries), axis=1, kind="stable")
-        place = np.argsort(order, axis=1)
-        home = self.probabilities(rows).argmax(axis=1)
-        ranks = np.sort(np.take_along_axis(place, home[near], axis=1).ravel())
-        return int(ranks[min(len(ranks) - 1, math.ceil(recall * len(ranks)))]) + 1
-
     @staticmethod
     def _softmax(logits: np.ndarray) -> np.ndarray:
         logits = np.exp(logits - logits.max(axis=1, keepdims=True))
@@ -115,6 +109,88 @@ class Router:
         return self._softmax(np.maximum(vectors @ w[0] * 4 + w[1], 0) @ w[2] + w[3])
 
 
+@dataclass
+class Index:
+    """Parts of one or two levels: `fine` routes within the coarse parts that are divided. Part numbers run
+    through the coarse parts; `first` is each one's first number."""
+
+    coarse: Router
+    fine: dict[int, Router]
+
+    def __post_init__(self) -> None:
+        sizes = [self.fine[c].parts if c in self.fine else 1 for c in range(self.coarse.parts)]
+        self.first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+    @property
+    def parts(self) -> int:
+        return int(self.first[-1])
+
+    def homes(self, vectors: np.ndarray) -> np.ndarray:
+        """The part that holds each unit vector: the most probable one of its most probable coarse part."""
+        top = self.coarse.probabilities(vectors).argmax(axis=1)
+        out = self.first[top].copy()
+        for c in np.unique(top).tolist():
+            if c in self.fine:
+                own = np.flatnonzero(top == c)
+                out[own] += self.fine[c].probabilities(vectors[own]).argmax(axis=1)
+        return out
+
+    def probabilities(self, vectors: np.ndarray, closest: int = 32) -> np.ndarray:
+        """Of every part; the networks of the `closest` most probable coarse parts are asked, others' parts
+        share their coarse part's probability."""
+        top = self.coarse.probabilities(vectors)
+        sizes = np.diff(self.first)
+        out = np.repeat(top / sizes, sizes, axis=1)
+        near = np.argsort(np.argsort(-top, axis=1, kind="stable"), axis=1) < closest
+        for c, router in self.fine.items():
+            own = np.flatnonzero(near[:, c])
+            out[own, self.first[c]:self.first[c + 1]] = top[own, c, None] * router.probabilities(vectors[own])
+        return out
+
+    def probes_for(self, recall: float, queries: np.ndarray, rows: np.ndarray, k: int) -> int:
+        """The fewest probes that reach a share of the queries' k nearest rows."""
+        if not len(queries):
+            return self.parts
+        homes, ranks = self.homes(rows), []
+        for at in range(0, len(queries), 64):
+            own = queries[at:at + 64]
+            near = np.argsort(-(own @ rows.T), axis=1, kind="stable")[:, :k]
+            place = np.argsort(np.argsort(-self.probabilities(own), axis=1, kind="stable"), axis=1)
+            ranks.append(np.take_along_axis(place, homes[near], axis=1).ravel())
+        ranks = np.sort(np.concatenate(ranks))
+        return int(ranks[min(len(ranks) - 1, math.ceil(recall * len(ranks)))]) + 1
+
+
+def _learned(vectors: np.ndarray, parts: int, degree: int, hidden: int) -> Router | None:
+    """A router over balanced parts of unit vectors, of at least 8 each; none for a single part."""
+    while parts > 1 and len(vectors) < 8 * parts:
+        parts //= 2
+    if parts <= 1:
+        return None
+    graph = neighbour_graph(vectors, degree)
+    return Router.train(vectors, graph, balanced_parts(graph, parts), parts, hidden)
+
+
+def _divided(placed: DataFrame, wanted: dict[int, int], sample: int, degree: int, hidden: int) -> dict[int, Router]:
+    """Second-level routers of the coarse parts in `wanted` (part: how many), each learned in a task."""
+    if not wanted:
+        return {}
+    mark = F.xxhash64("row", "vec_id")
+    salted = Window.partitionBy("part", F.pmod(mark, F.lit(64))).orderBy(mark, "row")
+    each = -(-sample // 64)
+    own = placed.filter(F.col("part").isin(list(wanted))).withColumn("at", F.row_number().over(salted)) \
+        .filter(F.col("at") <= each).select("part", "vector")
+
+    def train(rows: pa.Table) -> pa.Table:
+        part = rows.column("part")[0].as_py()
+        router = _learned(_unit(_matrix(rows.column("vector"))), wanted[part], degree, hidden)
+        small = None if router is None else pickle.dumps(Router(router.parts, [w.astype(np.float32) for w in router.weights]))
+        return pa.table({"part": pa.array([part], pa.int32()), "router": pa.array([small], pa.binary())})
+
+    found = own.groupBy("part").applyInArrow(train, "part int, router binary").collect()  # one a coarse part
+    return {r.part: pickle.loads(r.router) for r in found if r.router is not None}
+
+
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -162,7 +238,7 @@ def _best(queries: pa.Table, rows: pa.Table, k: int) -> tuple[list[np.ndarray],
 def nearest(
     table: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 5,
     parts: int | None = None, recall: float = 0.95, sample: int = 8192, degree: int = 10,
-    block: int = 8192, query_block: int = 4096,
+    block: int = 16_384, query_block: int = 16_384, part_rows: int = 65_536, router_bytes: int = 64 << 20,
 ) -> DataFrame:
     """Per query its k nearest other rows found: query_id, rank (from 1), vec_id, score.
 
@@ -170,7 +246,8 @@ def nearest(
     without an id take no part. Usable rows are numbered and stored with their numbers. Repeated rows are
     candidates each; a row with the query's id is the query's own. An id that asks in several rows gets one
     answer: a candidate counts once, with the largest cosine that any of the id's rows has with it. A query
-    probes further parts until they hold k rows of other ids. An empty table gives no rows. `sample` bounds the rows that the index is learned from, not those it holds.
+    probes further parts until they hold k rows of other ids. An empty table gives no rows. `sample` bounds the rows that a network is learned from, not those that
+    the index holds; `part_rows` is the size that parts are cut to, by estimate.
     """
     spark = table.sparkSession
     found = "query_id long, rank int, vec_id long, score double"
@@ -181,46 +258,58 @@ def nearest(
     if sizes is None:
         return spark.createDataFrame([], found)
     rows = rows.filter(F.size("vector") == sizes.width)
-    parts = parts or part_count(sizes["count"])
     chosen = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vector").toArrow()
     learned = _unit(_matrix(chosen.column(0)))
     learned, unseen = learned[len(learned) // 8:], learned[:len(learned) // 8]
-    while parts > 1 and len(learned) < 8 * parts:
-        parts //= 2
-    probes = 1
-    if parts > 1:
-        graph = neighbour_graph(learned, degree)
-        part = balanced_parts(graph, parts)
-        router = Router.train(learned, graph, part, parts)
-        probes = router.probes_for(recall, unseen, learned, k)
-    else:
-        router = Router(1, [np.zeros((sizes.width, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)])
-    shared = spark.sparkContext.broadcast(router)
-
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                part = shared.value.probabilities(_unit(_matrix(batch.column(1)))).argmax(axis=1)
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(part, pa.int32())],
-                                                 names=["vec_id", "vector", "asks", "row", "part"])
-
-    placed = kept(rows.mapInArrow(assign, "vec_id long, vector array<double>, asks boolean, row long, part int"))
-    count = np.zeros(parts, np.int64)
-    for row in placed.groupBy("part").count().collect():  # one row a part
-        count[row.part] = row["count"]
+    router = _learned(learned, parts or part_count(sizes["count"]), degree, 256) or \
+        Router(1, [np.zeros((sizes.width, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1)])
+    index = Index(router, {})
+
+    def put(rows: DataFrame, index: Index) -> DataFrame:
+        shared = spark.sparkContext.broadcast(index)
+
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    part = shared.value.homes(_unit(_matrix(batch.column(1))))
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(part, pa.int32())],
+                                                     names=["vec_id", "vector", "asks", "row", "part"])
+
+        return kept(rows.mapInArrow(assign, "vec_id long, vector array<double>, asks boolean, row long, part int"))
+
+    def counts(placed: DataFrame, parts: int) -> np.ndarray:
+        count = np.zeros(parts, np.int64)
+        for row in placed.groupBy("part").count().collect():  # one row a part
+            count[row.part] = row["count"]
+        return count
+
+    placed = put(rows, index)
+    count = counts(placed, index.parts)
+    # All second-level networks together are at most `router_bytes`; where that is little, parts stay larger.
+    most = int(min(256, (router_bytes / (4 * max(1, int((count > part_rows).sum()))) / 64) - sizes.width))
+    wanted = {c: 1 << math.ceil(math.log2(n / part_rows)) for c, n in enumerate(count.tolist()) if n > part_rows}
+    wanted = {c: min(n, 1 << int(math.log2(most))) for c, n in wanted.items()} if most > 1 else {}
+    fine = _divided(placed, wanted, sample, degree, 64)
+    if fine:
+        index = Index(router, fine)
+        placed = put(rows, index)
+        count = counts(placed, index.parts)
+    probes = index.probes_for(recall, unseen, learned, k)
+    parts, shared = index.parts, spark.sparkContext.broadcast(index)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            order = np.argsort(-shared.value.probabilities(_unit(_matrix(batch.column(1)))), axis=1, kind="stable")
-            before = np.cumsum(count[order], axis=1) - count[order]
-            same = batch.column(2).to_numpy()[:, None]  # rows of the query's id may fill a part
-            wanted = (np.arange(parts) < probes) | (before < k + same)
-            at, nth = np.nonzero(wanted)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)),
-                 pa.array(order[at, nth].astype(np.int32))], names=["query_id", "vector", "part"])
+            for start in range(0, batch.num_rows, 256):
+                own = batch.slice(start, 256)
+                order = np.argsort(-shared.value.probabilities(_unit(_matrix(own.column(1)))), axis=1, kind="stable")
+                before = np.cumsum(count[order], axis=1) - count[order]
+                same = own.column(2).to_numpy()[:, None]  # rows of the query's id may fill a part
+                at, nth = np.nonzero((np.arange(parts) < probes) | (before < k + same))
+                yield pa.RecordBatch.from_arrays(
+                    [own.column(0).take(pa.array(at)), own.column(1).take(pa.array(at)),
+                     pa.array(order[at, nth].astype(np.int32))], names=["query_id", "vector", "part"])
 
     same = placed.groupBy("vec_id").agg(F.count(F.lit(1)).alias("same"), F.max("asks").alias("asks")).filter("asks")
     asked = kept(placed.filter("asks").select("vec_id", "vector").distinct()

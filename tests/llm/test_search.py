@@ -265,6 +265,40 @@ def test_neighbours_of_repeated_rows_equal_brute_force(spark):
         assert set(got) == {0, 50}
 
 
+def clustered(spark, n, seed=1):
+    """n vectors around n / 50 centres."""
+    pick = np.random.default_rng(seed)
+    x = np.repeat(pick.standard_normal((n // 50, 12)), 50, axis=0) + 0.25 * pick.standard_normal((n, 12))
+    x = x[pick.permutation(n)]
+    return x, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+
+
+def test_parts_are_divided_and_queries_stay_few(spark, monkeypatch):
+    """Two levels: parts grow in number with the rows, and a query meets no more of them than before."""
+    seen = []
+    real = neighbours.Index.probes_for
+
+    def watched(index, *args):
+        seen.append((index.parts, len(index.fine), real(index, *args)))
+        return seen[-1][2]
+
+    monkeypatch.setattr(neighbours.Index, "probes_for", watched)
+    for n in (1500, 6000):
+        x, table = clustered(spark, n)
+        rows = neighbours.nearest(table, F.pmod("vec_id", F.lit(50)) == 0, sample=1000, part_rows=60).collect()
+        unit, got = x / np.sqrt((x * x).sum(axis=1, keepdims=True)), defaultdict(set)
+        for r in rows:
+            got[r.query_id].add(r.vec_id)
+        hits = 0
+        for q in range(0, n, 50):
+            score = unit @ unit[q]
+            score[q] = -2
+            hits += len(set(np.argsort(-score)[:5].tolist()) & got[q])
+        assert len(rows) == n // 50 * 5 and hits >= 0.9 * len(rows)
+    (few, _, less), (many, divided, more) = seen
+    assert divided > 0 and many > 2 * few and more < many / 3 and more < 4 * less
+
+
 def direct_fingerprint(text, words=3):
     import re
 
