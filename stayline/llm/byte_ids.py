@@ -79,7 +79,8 @@ class UnitEncoder:
         todo = list(todo)
         for start in range(0, len(todo), 64):
             part = todo[start:start + 64]
-            ids = np.array(self.tokenizer.encode(" " + " ".join(part), add_special_tokens=False).ids, "<u4")
+            run = [" " + " ".join(part)]
+            ids = np.array(self.tokenizer.encode_batch_fast(run, add_special_tokens=False)[0].ids, "<u4")  # without offsets
             cuts = (4 * np.append(np.flatnonzero(self.spaced[ids]), len(ids))).tolist()
             raw = ids.tobytes()
             known.update(zip(part, [raw[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
