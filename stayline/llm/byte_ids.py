@@ -9,13 +9,20 @@ a unit that contains one goes through the library like any other.
 
 from __future__ import annotations
 
+import json
 import re
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import tiktoken
 
+#: How the library's byte-level pre-tokenizer cuts a text into pieces (a fixed value).
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters below this one are letters, numbers or white space alike in every version of Unicode tables.
+_BEYOND = "\u0250"
 _BEFORE_SPACE = re.compile(r"(?= \S)")
 _STOPS = ".,;:!?"
 _SPACE_RUN = re.compile(r" (?:\s|$)")
@@ -25,6 +32,43 @@ LONGEST_KEPT, MOST_KEPT = 64, 1_000_000
 LONGEST_ROW = 1 << 22
 
 
+def _bytes_of_letters() -> dict[str, int]:
+    """How byte-level vocabularies write bytes: printable ones as themselves, the others from U+0100 on, in order."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+
+
+def ranked(tokenizer) -> tiktoken.Encoding | None:
+    """A quicker encoder with the same ids for texts below `_BEYOND`; None where that isn't certain.
+
+    It merges any neighbours that make a token, lowest id first; the library merges the listed pairs in their
+    order. Both do the same if ids rise in the order of the pairs and the library gives each token
+    itself for its own string: until a token is made, what is inside it merges as it does when it stands alone,
+    so no other pair than the listed one ever meets.
+    """
+    own, letters = json.loads(tokenizer.to_str()), _bytes_of_letters()
+    model, cuts = own["model"], own["pre_tokenizer"] or {}
+    plain = (own["normalizer"] is None and cuts.get("type") == "ByteLevel" and cuts.get("use_regex")
+             and not cuts.get("add_prefix_space") and model["type"] == "BPE" and not model["dropout"]
+             and not model["continuing_subword_prefix"] and not model["end_of_word_suffix"])
+    vocab = model["vocab"] if plain else {}
+    pairs = [p if isinstance(p, list) else p.split(" ") for p in model.get("merges", [])]
+    made = [vocab.get("".join(p), -1) for p in pairs]
+    whole = set(letters) <= vocab.keys() and all(set(t) <= letters.keys() for t in vocab)
+    if not whole or -1 in made or any(a >= b for a, b in pairwise(made)):
+        return None
+    if any([x.id for x in tokenizer.model.tokenize(token)] != [at] for token, at in vocab.items()):
+        return None
+    ranks = {bytes(map(letters.__getitem__, token)): at for token, at in vocab.items()}
+    return tiktoken.Encoding("ranked", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+
+
+def _near(word: str) -> bool:
+    """Whether a word is short and below `_BEYOND`."""
+    return len(word) <= LONGEST_KEPT and (word.isascii() or max(word) < _BEYOND)
+
+
 def units(text: str) -> list[str]:
     """Pieces whose ids concatenate to the ids of the text; joined they are the text."""
     if _SPACE_RUN.search(text):
@@ -39,7 +83,8 @@ class UnitEncoder:
 
     In a text where no space is followed by white space, the units after the first are the words between
     its spaces, each with a space before it; `known` has the ids of such a unit under its word. Arrow splits
-    many texts at a time and numbers their distinct words, so that Python looks at each of those once.
+    many texts at a time and numbers their distinct words, so that Python looks at each of those once, and
+    puts their ids together again.
     Other texts, and those with a special string, are looked at unit by unit.
     """
 
@@ -49,6 +94,7 @@ class UnitEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.quick = ranked(self.tokenizer)
         self.mark = "<|endoftext|>"
         self.spaced = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
         for token, at in self.tokenizer.get_vocab().items():
@@ -56,8 +102,14 @@ class UnitEncoder:
         self.known: dict[str, bytes] = {"": b""}
         self.alone: dict[str, bytes] = {}
 
+    def _encode(self, text: str, near: bool) -> np.ndarray:
+        """Ids of a text; `near`: it is made of near words."""
+        if near and self.quick:
+            return np.array(self.quick.encode_ordinary(text), "<u4")
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")  # without offsets
+
     def _alone(self, unit: str) -> bytes:
-        return np.array(self.tokenizer.encode(unit, add_special_tokens=False).ids, "<u4").tobytes()
+        return self._encode(unit, _near(unit) and self.mark not in unit).tobytes()
 
     def _learn(self, words: list[str]) -> None:
         """Put the ids of words with a space before them into the table, some to a call.
@@ -76,11 +128,9 @@ class UnitEncoder:
             else:
                 todo[bare] = None
                 later.append((word, bare))
-        todo = list(todo)
-        for start in range(0, len(todo), 64):
-            part = todo[start:start + 64]
-            run = [" " + " ".join(part)]
-            ids = np.array(self.tokenizer.encode_batch_fast(run, add_special_tokens=False)[0].ids, "<u4")  # without offsets
+        kinds = [[w for w in todo if _near(w)], [w for w in todo if not _near(w)]]
+        for near, part in ((k == 0, kinds[k][i:i + 64]) for k in (0, 1) for i in range(0, len(kinds[k]), 64)):
+            ids = self._encode(" " + " ".join(part), near)
             cuts = (4 * np.append(np.flatnonzero(self.spaced[ids]), len(ids))).tolist()
             raw = ids.tobytes()
             known.update(zip(part, [raw[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)], strict=True))
@@ -92,7 +142,7 @@ class UnitEncoder:
         ids = self.alone.get(run)
         if ids is None:
             ids = self._alone(run)
-            if len(self.alone) < 10_000 and len(run) <= LONGEST_KEPT:
+            if len(self.alone) < 100_000 and len(run) <= LONGEST_KEPT:
                 self.alone[run] = ids
         return ids
 
@@ -127,7 +177,8 @@ class UnitEncoder:
         """Plain texts, or parts of them behind a space; `begins` marks the beginnings of texts."""
         split = pc.split_pattern(pa.array(rows, pa.large_string()), " ")
         coded = split.flatten().dictionary_encode()
-        words, of = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        of = coded.indices.to_numpy().copy()
         offsets = split.offsets.to_numpy()
         heads = offsets[:-1][begins]
         spaced = np.ones(len(of), bool)
@@ -141,13 +192,10 @@ class UnitEncoder:
             alone[word] = len(ids)
             ids.append(self._kept_alone(text) if text else b"")
         of[heads] = [alone[w] for w in of[heads].tolist()]
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        first = np.cumsum(size) - size
-        own, ends = size[of], np.append(0, np.cumsum(size[of]))
-        out = flat[np.repeat(first[of] - ends[:-1], own) + np.arange(ends[-1])]
-        cuts = ends[offsets].tolist()
-        return [out[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        found = pa.array(ids, pa.large_binary()).take(pa.array(of))
+        ends, data = np.frombuffer(found.buffers()[1], "<i8")[found.offset:], found.buffers()[2]
+        raw, cuts = memoryview(data) if data else b"", ends[offsets].tolist()
+        return [bytes(raw[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[list[bytes]] = [[] for _ in texts]

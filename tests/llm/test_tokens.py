@@ -1,5 +1,6 @@
 """Packing, BPE, token files and token counts against the tokenizers library."""
 
+import json
 import random
 import zlib
 from collections import Counter
@@ -27,6 +28,38 @@ def test_unit_encoder_equals_the_library(byte_bpe, ids_of):
     assert [np.frombuffer(g, "<u4").tolist() for g in got] == [ids_of(t).tolist() for t in texts]
 
 
+def test_quick_encoder_equals_the_library_below_its_bound(byte_bpe, ids_of):
+    coder, pick = byte_ids.UnitEncoder(byte_bpe), random.Random(9)
+    assert coder.quick is not None
+    near = [chr(c) for c in range(0x260)]
+    texts = [c + d for c in near for d in (" ", "a", "1", ".", "\n", "'s")] + [f"x {c}{d}a" for c in near for d in " a1.\n"]
+    texts += ["".join(pick.choice(near) if pick.random() < 0.5 else pick.choice("ab 1.\n'") for _ in range(30)) for _ in range(3000)]
+    texts += [" ".join("".join(pick.choices("abcdefghiéßñstr", k=pick.randint(1, 70))) + pick.choice(["", ",", ".\n", "%%", "'ll"])
+                       for _ in range(300)) for _ in range(20)]
+    got = coder.encode(texts)
+    assert [np.frombuffer(g, "<u4").tolist() for g in got] == [ids_of(t).tolist() for t in texts]
+
+
+def test_quick_encoder_needs_ranked_merges(byte_bpe):
+    def changed(change):
+        own = json.loads(Tokenizer.from_file(byte_bpe).to_str())
+        change(own)
+        return byte_ids.ranked(Tokenizer.from_str(json.dumps(own)))
+
+    def swap(own):
+        merges = own["model"]["merges"]
+        merges[10], merges[11] = merges[11], merges[10]
+
+    def drop(own):
+        del own["model"]["merges"][-1]  # a token that no pair makes
+
+    def prefixed(own):
+        own["pre_tokenizer"]["add_prefix_space"] = True
+
+    assert [changed(c) for c in (swap, drop, prefixed)] == [None] * 3
+    assert byte_ids.ranked(Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))) is None
+
+
 def test_bpe_equals_the_library_and_round_trips():
     path = public_tokenizers.path("word_bpe_49k.json")
     library, own = Tokenizer.from_file(path), bpe.WordBpe(path)
