@@ -38,7 +38,9 @@ _TABLE = bytes.maketrans(BREAKS + b"\t", b"\n" * len(BREAKS) + b" ")
 _CUT = re.compile(rb"[ \n]")
 #: Bytes of text turned into words at a time, words of one stored row, and words counted at a time.
 _SLICE, _ROW, _BLOCK = 1 << 22, 1 << 20, 1 << 21
-_MOST_KNOWN = 1_000_000
+_MOST_KNOWN, _MOST_MET = 1_000_000, 100_000
+#: The shard of the words' spellings, which no scan reads.
+SPELLED = -1
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 COUNTS = "phrase binary, n long, began int"
 
@@ -60,9 +62,9 @@ class WordNumbers(dict):
 
     SKIP = 1  # the number of an empty string; no word has it
 
-    def __init__(self, lang: str):
+    def __init__(self, lang: str, met: list[tuple[int, bytes]] | None = None):
         super().__init__()
-        self.head = lang.encode() + b"\0"
+        self.head, self.met = lang.encode() + b"\0", met
 
     def __missing__(self, word: bytes) -> int:
         if word == b"\n":
@@ -71,6 +73,8 @@ class WordNumbers(dict):
             number = self.SKIP
         else:
             number = max(xxhash.xxh3_64_intdigest(self.head + word), self.SKIP + 1)
+            if self.met is not None:
+                self.met.append((number, word))
         self[word] = number
         return number
 
@@ -139,9 +143,13 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.FixedSizeBinaryArray.from_buffers(pa.binary(width), len(rows), [None, pa.py_buffer(flat)]).cast(pa.binary())
 
 
-def _word_rows(batches: Iterator[pa.RecordBatch], shards: int, longest: int) -> Iterator[pa.RecordBatch]:
+def _word_rows(
+    batches: Iterator[pa.RecordBatch], shards: int, longest: int,
+    met: dict[str, list[tuple[int, bytes]]] | None = None,
+) -> Iterator[pa.RecordBatch]:
     """Rows (lang, text) to rows (shard, lang, size, owned, words): whole texts, long ones in several rows
-    that overlap by `longest` - 1 words; phrases are counted where they start."""
+    that overlap by `longest` - 1 words; phrases are counted where they start. `met` takes words, by
+    language, when they are numbered."""
     task, numbers = TaskContext.get(), {}
     made = task.partitionId() if task else 0
     for batch in batches:
@@ -150,7 +158,7 @@ def _word_rows(batches: Iterator[pa.RecordBatch], shards: int, longest: int) ->
             if lang not in numbers:
                 if len(numbers) >= 64:
                     numbers.clear()
-                numbers[lang] = WordNumbers(lang)
+                numbers[lang] = WordNumbers(lang, None if met is None else met.setdefault(lang, []))
             held = np.zeros(0, np.uint64)
             for tokens in token_slices(text):
                 held = np.concatenate([held, numbers[lang].numbers(tokens)])
@@ -169,6 +177,28 @@ def _word_rows(batches: Iterator[pa.RecordBatch], shards: int, longest: int) ->
             ], names=["shard", "lang", "size", "owned", "words"])
 
 
+def _stored_rows(batches: Iterator[pa.RecordBatch], shards: int, longest: int) -> Iterator[pa.RecordBatch]:
+    """As `_word_rows`, and in shard `SPELLED` the words that the task has numbered: `owned` of them, in `words`
+    their numbers and then their spellings with spaces between."""
+    met: dict[str, list[tuple[int, bytes]]] = {}
+
+    def spelled() -> pa.RecordBatch:
+        found = [(lang, list(zip(*words, strict=True))) for lang, words in met.items() if words]
+        for words in met.values():
+            words.clear()
+        raw = [np.array(n, "<u8").tobytes() + b" ".join(words) for _, (n, words) in found]
+        return pa.RecordBatch.from_arrays([
+            pa.array([SPELLED] * len(found), pa.int32()), pa.array([lang for lang, _ in found], pa.string()),
+            pa.array([0] * len(found), pa.int64()), pa.array([len(n) for _, (n, _) in found], pa.int64()),
+            pa.array(raw, pa.binary())], names=["shard", "lang", "size", "owned", "words"])
+
+    for out in _word_rows(batches, shards, longest, met):
+        yield out
+        if sum(map(len, met.values())) >= _MOST_MET:
+            yield spelled()
+    yield spelled()
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Rows (owned, words) joined to blocks of words, with a break between rows, and their owned positions."""
     words, starts, size = [], [], 0
@@ -224,19 +254,23 @@ def _new_slots(reached: DataFrame, bits: int) -> np.ndarray:
     return cell[row] * 64 + bit
 
 
-def phrase_counts(
-    docs: DataFrame, lang: str, text: str, least: int, longest: int, shards: int, filter_bits: int,
-) -> tuple[DataFrame, DataFrame]:
-    """Tables (phrase, n) of every word and phrase with n >= `least`, and (lang, n) of all words. A phrase is the little-endian 64-bit numbers of its words."""
-    spark = docs.sparkSession
-    place = shared_folder(spark)
+def word_table(docs: DataFrame, lang: str, text: str, place: str, longest: int, shards: int) -> DataFrame:
+    """The corpus as rows of word numbers, written to `place` by shard, with the words' spellings."""
     schema = "lang string, size long, owned long, words binary, shard int"
     docs.select(lang, text).mapInArrow(
-        lambda b: _word_rows(b, shards, longest), "shard int, lang string, size long, owned long, words binary") \
+        lambda b: _stored_rows(b, shards, longest), "shard int, lang string, size long, owned long, words binary") \
         .write.option("compression", "zstd").option("parquet.page.size.row.check.min", "4") \
         .option("parquet.block.size.row.check.min", "4").partitionBy("shard").parquet(f"{place}/words")
-    words = spark.read.schema(schema).parquet(f"{place}/words")
-    totals = words.groupBy("lang").agg(F.sum("size").alias("n"))
+    return docs.sparkSession.read.schema(schema).parquet(f"{place}/words")
+
+
+def phrase_counts(
+    words: DataFrame, place: str, least: int, longest: int, shards: int, filter_bits: int,
+) -> tuple[DataFrame, DataFrame]:
+    """From a word table (phrase, n) of every word and phrase with n >= `least`, and (lang, n) of all words. A phrase
+    is the little-endian 64-bit numbers of its words."""
+    spark = words.sparkSession
+    totals = words.filter(F.col("shard") != SPELLED).groupBy("lang").agg(F.sum("size").alias("n"))
     filter_ = np.full(1 << filter_bits, UNSET, np.uint8)
     state, whole, scan, last_set = None, [], 0, 0
     table = "phrase binary, n long, began int, before long, open boolean"
@@ -270,36 +304,27 @@ def phrase_counts(
     return kept(found.hint("rebalance")), totals
 
 
-def _dictionary(docs: DataFrame, lang: str, text: str, phrases: DataFrame, bits: int) -> DataFrame:
+def _dictionary(words: DataFrame, phrases: DataFrame, bits: int) -> DataFrame:
     """(mark, lang, word) of the words of some phrases, and of few others; mark is a word's number as binary.
 
-    What the tasks look for is a filter of a fixed size again; each sends a word once.
+    What the tasks look for in the spellings of a word table is a filter of a fixed size again.
     """
     each = F.explode(F.transform(F.sequence(F.lit(1), F.col("size")), lambda k: F.substring("phrase", 8 * k - 7, F.lit(8))))
     wanted = np.full(1 << bits, UNSET, np.uint8)
     wanted[_new_slots(phrases.select(each.alias("phrase")).distinct(), bits)] = 0
-    shared = docs.sparkSession.sparkContext.broadcast(wanted)
+    shared = words.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: dict[str, set[bytes]] = {}
         for batch in batches:
-            by_lang: dict[str, set[bytes]] = {}
-            for own, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for tokens in token_slices(value):
-                    by_lang.setdefault(own, set()).update(tokens)
-            for own, distinct in by_lang.items():
-                before = sent.setdefault(own, set())
-                words = sorted(distinct - before - {b"", b"\n"})
-                numbers = WordNumbers(own).numbers(words)
+            for lang, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                numbers, spelled = np.frombuffer(raw, "<u8", n), raw[8 * n:].split(b" ")
                 known = np.flatnonzero(stamped(shared.value, numbers) != UNSET)
-                if sum(map(len, sent.values())) > _MOST_KNOWN:
-                    sent, before = {own: set()}, set()
-                sent[own] = before | {words[i] for i in known.tolist()}
                 yield pa.RecordBatch.from_arrays([
-                    _binary(numbers[known][:, None]), pa.array([own] * len(known), pa.string()),
-                    pa.array([words[i].decode() for i in known.tolist()], pa.string())], names=["mark", "lang", "word"])
+                    _binary(numbers[known][:, None]), pa.array([lang] * len(known), pa.string()),
+                    pa.array([spelled[i].decode() for i in known.tolist()], pa.string())], names=["mark", "lang", "word"])
 
-    return docs.select(lang, text).mapInArrow(run, "mark binary, lang string, word string") \
+    return words.filter(F.col("shard") == SPELLED).select("lang", "owned", "words") \
+        .mapInArrow(run, "mark binary, lang string, word string") \
         .groupBy("mark").agg(F.min("lang").alias("lang"), F.min("word").alias("word"))
 
 
@@ -328,7 +353,9 @@ def collocations(
         raise ValueError("at least 1 occurrence, 2 words and 1 shard, and fewer scans than stamps")
     rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit(unknown)).alias("lang"),
                        F.col(text).cast("string").alias("text"))
-    found, totals = phrase_counts(rows, "lang", "text", least, longest, shards, filter_bits)
+    place = shared_folder(docs.sparkSession)
+    table = word_table(rows, "lang", "text", place, longest, shards)
+    found, totals = phrase_counts(table, place, least, longest, shards, filter_bits)
     size = (F.length("phrase") / 8).cast("int")
     phrases = found.filter(F.length("phrase") > 8).select("phrase", F.col("n").alias("a"), size.alias("size"))
     # A longer phrase is at most as frequent as the phrases between, so one more word is enough to look at.
@@ -341,9 +368,9 @@ def collocations(
         .withColumn("head", _part(0, F.col("cut"))).withColumn("tail", _part(F.col("cut")))
     cuts = cuts.join(found.select(F.col("phrase").alias("head"), F.col("n").alias("l")), "head") \
         .join(found.select(F.col("phrase").alias("tail"), F.col("n").alias("r")), "tail")
-    spelled = _dictionary(rows, "lang", "text", left, filter_bits)
-    place = F.posexplode(F.transform(F.sequence(F.lit(1), F.col("size")), lambda k: F.substring("phrase", 8 * k - 7, F.lit(8))))
-    words = left.select("phrase", place.alias("at", "mark")).join(spelled, "mark").groupBy("phrase").agg(
+    spelled = _dictionary(table, left, filter_bits)
+    each = F.posexplode(F.transform(F.sequence(F.lit(1), F.col("size")), lambda k: F.substring("phrase", 8 * k - 7, F.lit(8))))
+    words = left.select("phrase", each.alias("at", "mark")).join(spelled, "mark").groupBy("phrase").agg(
         F.min("lang").alias("lang"),
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda w: w["word"]), " ").alias("spelled"))
     scored = cuts.join(words, "phrase").join(totals, "lang")
