@@ -25,6 +25,24 @@ def test_codes_follow_the_alphabet(spark):
         ("AppUsage", "Low", 0), ("AppUsage", "Medium", 1), ("Gender", "Female", 0), ("Gender", "Male", 1)]
 
 
+@pytest.mark.parametrize("most", [0, quality.BROADCAST_BYTES])
+def test_a_null_label_is_the_last_of_its_column(spark, monkeypatch, many_ranges, most):
+    """As dense_rank with nulls last: a customer without a nation, or whose lines have no part, has a code too."""
+    monkeypatch.setattr(quality, "BROADCAST_BYTES", most)
+    rows = [("PERU", "LARGE", "Low"), (None, None, "High"), ("CHINA", None, "Low"), (None, None, "Low")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)],
+                               "CustomerID long, Location string, PreferredCategory string, AppUsage string")
+    codes = features.label_codes(df)
+    got = features.encode(df, codes).orderBy("CustomerID").select("Location_enc", "Category_enc", "AppUsage_enc")
+    assert [tuple(r) for r in got.collect()] == [(1, 0, 1), (2, 1, 0), (0, 1, 1), (2, 1, 1)]
+    # Nulls of a later upload get the column's default or first label, as before.
+    clean = quality.sanitize_categories(df, codes, "first").orderBy("CustomerID")
+    assert [tuple(r) for r in clean.select("Location", "PreferredCategory").collect()] == [
+        ("PERU", "LARGE"), ("CHINA", "LARGE"), ("CHINA", "LARGE"), ("CHINA", "LARGE")]
+    void = df.withColumn("Location", F.lit(None).cast("string"))
+    assert {r["Location_enc"] for r in features.encode(void, features.label_codes(void)).collect()} == {0.0}
+
+
 @pytest.mark.parametrize("most", [0, quality.BROADCAST_BYTES])
 def test_a_million_labels_are_encoded(spark, monkeypatch, many_ranges, most):
     """No list of labels on the driver: codes are ranks of a table, joined in by shuffle where it is large."""
