@@ -120,6 +120,22 @@ def test_save_load_and_staleness(spark, planted, models, tmp_path, monkeypatch):
     assert training.is_stale(spark, path)
 
 
+def test_kmeans_fits_keep_their_own_points(spark, monkeypatch):
+    """On a persisted table each of the many passes of a fit would decode all rows again."""
+    levels = []
+
+    def fit(vectors, k, *rest):
+        levels.append(vectors.storageLevel)
+        return None, float(k)
+
+    monkeypatch.setattr(training, "train_kmeans", fit)
+    df = spark.range(20).select(
+        F.col("id").alias("CustomerID"), *[(F.col("id") * 1.0).alias(c) for c in training.RFM_FEATURES])
+    curve = training.elbow_curve(df, ks=(2, 5, 3), restarts=1).collect()
+    assert [tuple(r) for r in curve] == [(2, 2.0), (5, 5.0), (3, 3.0)]
+    assert len(levels) == 3 and not any(level.useMemory or level.useDisk for level in levels)
+
+
 def test_kmeans_recovers_blobs_and_elbow_falls(spark):
     rng = np.random.default_rng(12)
     centres = np.array([[0, 0, 0, 0, 0], [9, 0, 0, 9, 0], [0, 9, 9, 0, 0], [9, 9, 9, 9, 9]])
